@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, media, token_files
+from . import decontaminate, html_text, langid, license_scan, media, mixing, token_files
 
 QUERIES = {
     "op2_media": media.op2_media,
+    "op3_langid": langid.op3_langid,
+    "op6_mixing": mixing.op6_mixing,
     "op7_token_files": token_files.op7_token_files,
+    "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_license_scan": license_scan.op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_mixing": mixing.sql()}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, langid, license_scan, media, mixing, token_files
+from . import decontaminate, html_text, langid, license_scan, media, mixing, substring_dedup, token_files
 
 QUERIES = {
     "op2_media": media.op2_media,
     "op3_langid": langid.op3_langid,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": token_files.op7_token_files,
     "op8_html_text": html_text.op8_html_text,

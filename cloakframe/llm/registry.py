@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, langid, license_scan, media, mixing, substring_dedup, token_files
+from . import decontaminate, html_text, langid, license_scan, media, mixing, ngram_join, substring_dedup, token_files
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_media": media.op2_media,
     "op3_langid": langid.op3_langid,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
@@ -18,4 +19,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op6_mixing": mixing.sql()}
+ORACLE_SQL = {"op1_ngram_join": ngram_join.sql(), "op6_mixing": mixing.sql()}

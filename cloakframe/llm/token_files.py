@@ -22,6 +22,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 MANIFEST = "shard long, tokens string, index string, n_ids long, n_docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -49,6 +50,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its words serve the tasks that follow."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Encodes slices of documents word by word; equal to encoding each whole text."""
 
@@ -58,7 +65,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice in order, and the number of each document (end id included)."""
@@ -66,14 +74,15 @@ class WordEncoder:
         _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         raw = buf.tobytes()
         texts = [raw[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist())]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [t for t in texts if t not in self.cache]
-        for t, e in zip(new, self.tokenizer.encode_batch([t.decode() for t in new], add_special_tokens=False)):
-            self.cache[t] = np.array(e.ids, self.dtype)
-        parts = [*(self.cache[t] for t in texts), np.array([end_id], self.dtype)]
-        flat = np.concatenate(parts)
-        lengths = np.array([len(p) for p in parts], np.int64)
+        parts = [self.cache.get(t) for t in texts]
+        new = [k for k, p in enumerate(parts) if p is None]
+        for k, e in zip(new, self.batch([texts[k].decode() for k in new], add_special_tokens=False)):
+            parts[k] = np.array(e.ids, self.dtype).tobytes()
+            if len(self.cache) < CACHE_WORDS and len(texts[k]) < 64:
+                self.cache[texts[k]] = parts[k]
+        parts.append(np.array([end_id], self.dtype).tobytes())
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype().itemsize
         begins = np.cumsum(lengths) - lengths
         first = w.first
         which = np.insert(inverse.reshape(-1), first[1:], len(parts) - 1)  # an end after each document
@@ -135,7 +144,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str | None
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             for rows, buf, offsets in text_slices(batch):
-                encoder = encoder or WordEncoder(path)
+                encoder = encoder or encoder_of(path)
                 if writer is None:
                     name = f"{out_dir}/shards/{shard:06d}-{uuid.uuid4().hex}"
                     writer = ShardWriter(name, encoder.dtype, seq_len)

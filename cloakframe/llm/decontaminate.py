@@ -31,7 +31,7 @@ from .words import NOT_ALNUM, Words, gram_hash, mix, split_words, text_slices
 WINDOW = 10
 CHUNK = 512
 TABLE_BITS = 18
-SPANS = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+SPANS = "doc_id long, text string, rest {rest}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _block(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def _cover(starts: list[int], ends: list[int]) -> list[dict]:
 
 
 def find_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> DataFrame:
-    """Adds the hits of one block of items to doc_id, text, spans and items."""
+    """Adds the hits of one block of items to doc_id, text, rest, spans and items."""
     shared = docs.sparkSession.sparkContext.broadcast(build_classes(items, window))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +149,16 @@ def find_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: int
                     [
                         own.column("doc_id").cast(pa.int64()),
                         own.column("text"),
+                        own.column("rest"),
                         pa.array(w.counts.astype(np.int64)),
                         pa.array([_cover(s, e) for s, e, _ in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                         pa.array([sorted(found) for _, _, found in got], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
+                    names=["doc_id", "text", "rest", "n_words", "spans", "items"],
                 )
 
-    return docs.select("doc_id", "text", "spans", "items").mapInArrow(search, SPANS)
+    given = docs.select("doc_id", "text", "rest", "spans", "items")
+    return given.mapInArrow(search, SPANS.format(rest=given.schema["rest"].dataType.simpleString()))
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -173,11 +175,12 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, text, n_words, spans (hit words as half-open ranges), items (matching item_ids).
+    """doc_id, text, rest (the other columns), n_words, spans (hit words as half-open ranges), items (matching item_ids).
 
     One pass over the documents for each block of items; a pass adds to the spans of those before.
     """
-    found = docs.select("doc_id", "text", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    found = docs.select("doc_id", "text", F.struct(*rest).alias("rest"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for block in item_blocks(benchmark, block_bytes):
         found = find_spans(found, block, window)
     return found
@@ -197,7 +200,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return digest(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple]:
@@ -208,16 +212,19 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str |
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
+    patterns: dict[tuple, set[str]] = {}
+    for item, pattern in items:
+        p = words(pattern)
+        m = min(window, len(p))
+        for i in range(len(p) - m + 1 if m else 0):
+            patterns.setdefault(tuple(p[i : i + m]), set()).add(item)
     out = []
     for doc_id, text in docs:
         own, hit, found = words(text), set(), set()
-        for item, pattern in items:
-            p = words(pattern)
-            m = min(window, len(p))
-            for i in range(len(p) - m + 1 if m else 0):
-                for j in range(len(own) - m + 1):
-                    if own[j : j + m] == p[i : i + m]:
-                        hit.update(range(j, j + m))
-                        found.add(item)
+        for m in {len(p) for p in patterns}:
+            for j in range(len(own) - m + 1):
+                if tuple(own[j : j + m]) in patterns:
+                    hit.update(range(j, j + m))
+                    found |= patterns[tuple(own[j : j + m])]
         out.append((doc_id, len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.95}
 ROUNDS = 8
 MARGINS = ("source", "lang", "topic")
 #: Cells up to this number are broadcast to the documents; more are joined by a shuffle.

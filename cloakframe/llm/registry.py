@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, langid, license_scan, media, mixing, ngram_join, substring_dedup, token_files
+from . import decontaminate, html_text, langid, license_scan, media, mixing, ngram_join, substring_dedup, suffix_tree_lm, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_media": media.op2_media,
     "op3_langid": langid.op3_langid,
+    "op4_suffix_tree_lm": suffix_tree_lm.op4_suffix_tree_lm,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": token_files.op7_token_files,

@@ -28,8 +28,12 @@ def total_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
 
 
+#: Stands for a null doc_id inside a slice; sorts first.
+NO_ID = -(1 << 63)
+
+
 def build_slices(docs: DataFrame, size: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The slices of the rows with a doc_id; null text is empty."""
+    """The slices of the rows; null text is empty, a null doc_id is NO_ID."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
@@ -55,13 +59,25 @@ def build_slices(docs: DataFrame, size: int, slice_bytes: int = SLICE_BYTES) ->
             yield flush()
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     name = f"cloakframe_slices_{uuid.uuid4().hex}"
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     ordered.mapInArrow(cut, SCHEMA).write.bucketBy(buckets, "slice").option("compression", "zstd").option("path", shared_dir(spark, "slices")).saveAsTable(name)
     return spark.table(name)
 
 
+def ids_array(ids: np.ndarray) -> pa.Array:
+    """doc_ids for output, NO_ID as null."""
+    return pa.array(ids, mask=ids == NO_ID)
+
+
+def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches one by one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, offsets and text bytes of a slice row."""
     return np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["text"], np.uint8)

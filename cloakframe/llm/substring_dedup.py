@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .slices import build_slices, total_bytes, unpack
+from .slices import build_slices, slice_rows, total_bytes, unpack
 from .words import SPACE, Words, split_words
 
 WINDOW = 13
@@ -120,20 +120,14 @@ def _exact(a: Anchors, active: np.ndarray, ids: np.ndarray, buckets: int) -> tup
     return at, inverse, _bucket(keys, buckets), keys, least
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     size = total_bytes(docs)
     buckets = int(min(max(BUCKETS[0], -(-size // BUCKET_TEXT)), BUCKETS[1]))
-    slices = build_slices(docs, size)
+    slices = build_slices(docs.where("doc_id is not null"), size)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _slices(batches):
+        for row in slice_rows(batches):
             ids, offsets, text = unpack(row)
             a = Anchors.of(offsets, text, ids, buckets)
             entries = (a.print32 << np.uint32(2)) | (a.aligned.astype(np.uint32) << np.uint32(1)) | a.shared
@@ -151,7 +145,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         return _answer(table, parts, (aligned & shared)[inverse])
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _slices(batches):
+        for row in slice_rows(batches):
             ids, offsets, text = unpack(row)
             a = Anchors.of(offsets, text, ids, buckets)
             _, _, bucket, keys, _ = _exact(a, _received(row["anchors"], a.bucket), ids, buckets)
@@ -168,7 +162,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         return _answer(table, parts, first[inverse.reshape(-1)] < number)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _slices(batches):
+        for row in slice_rows(batches):
             ids, offsets, text = unpack(row)
             a = Anchors.of(offsets, text, ids, buckets)
             at, inverse, bucket, _, least = _exact(a, _received(row["anchors"], a.bucket), ids, buckets)

@@ -1,19 +1,52 @@
-"""A corpus pipeline of stages; each stage's rows are written as Parquet and read by the next."""
+"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read by the next.
+
+Defined results: rows without a letter in their text go in the first stage.  Of each group of near
+duplicates the row with the least doc_id stays; rows without doc_id belong to no group and stay.
+Rows that repeat doc_id and text are one document.  Columns keep their values; the last stage
+returns what the token files hold.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate as decontaminate_op
-from cloakframe.llm import token_files
-from cloakframe.llm.shared import shared_dir
+from cloakframe.llm import decontaminate as decontamination
+from cloakframe.llm import langid, mixing, ngram_join, token_files
+from cloakframe.llm.shared import materialize, shared_dir, sized
+
+SHINGLE_WORDS = 5
+PERCENT = 80
+#: Removed documents up to this number are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be told."""
+    predicted = langid.predict(docs, langid.fit(docs), docs.columns)
+    return predicted.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that 5-word shingles of similarity 0.8 or more link."""
+    linked = ngram_join.jaccard_components(docs, SHINGLE_WORDS, PERCENT)
+    gone = materialize(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    rows = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if rows["n"] > rows["d"]:
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    return docs.join(sized(gone, BROADCAST_IDS), "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    found = decontaminate_op.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where(F.size("items") > 0).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rest = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return found.where(F.size("items") == 0).select("doc_id", "text", *rest).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that sources, languages and topics meet their target weights."""
+    return mixing.mix(docs).where("mix_keep").select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +54,15 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.read_documents(token_files.write_token_files(docs, shared_dir(spark, "tokens")))
 
 
-STAGES = [("decontaminate", decontaminate), ("token_output", token_output)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
 
+#: The first and the last stage have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ code points.  The sentinel U+0001 is replaced in texts that hold it, one for one
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.operators.rules import Rule
@@ -65,19 +65,19 @@ def luhn(text: Column) -> Column:
     return (F.char_length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
-def candidates(text: Column, rule: Rule, k: int) -> Column:
+NO_SPANS = "cast(array() as array<struct<start:int,end:int,text:string,type:string,rule:int>>)"
+#: Plain tests that a text must pass before any pattern with that guard is tried.
+GUARDS = {"": lambda t: t.rlike(r"\p{Nd}"), "zh": lambda t: t.rlike("[一-鿿]"), "@": lambda t: F.contains(t, F.lit("@")), ":": lambda t: F.contains(t, F.lit(":"))}
+
+
+def candidates(text: Column, rule: Rule, k: int, guard: Column | None = None) -> Column:
     """The spans of one rule that pass its boundary and its check."""
-    whole = clean(text)
+    whole = clean(text) if guard is None else text
     ok = {"ipv4": is_ipv4, "luhn": luhn}.get(rule.check or "", lambda t: F.lit(True))
-    found = F.filter(find_spans(text, rule.pattern), lambda x: neighbours_free(whole, x, rule.boundary) & ok(x["text"]))
+    found = F.filter(find_spans(whole, rule.pattern), lambda x: neighbours_free(whole, x, rule.boundary) & ok(x["text"]))
     typed = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(rule.type).alias("type"), F.lit(k).alias("rule")))
-    if rule.guard == "zh":
-        guard = whole.rlike("[一-鿿]")
-    elif rule.guard:
-        guard = F.contains(whole, F.lit(rule.guard))
-    else:
-        guard = whole.rlike(r"\p{Nd}")
-    return F.when(guard, typed).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string,type:string,rule:int>>)"))
+    # most guarded texts still have no match: one cheap search decides before the fold runs
+    return F.when((GUARDS[rule.guard](whole) if guard is None else guard) & whole.rlike(rule.pattern), typed).otherwise(F.expr(NO_SPANS))
 
 
 def no_overlap(spans: Column) -> Column:
@@ -91,6 +91,15 @@ def no_overlap(spans: Column) -> Column:
     return F.aggregate(spans, first, step)
 
 
-def detect_spans(text: Column, rules: list[Rule]) -> Column:
-    """Spans of all rules in rule order, without overlaps: (start, end, text, type, rule)."""
-    return no_overlap(F.concat(*[candidates(text, r, k) for k, r in enumerate(rules)]))
+def detect_spans(df: DataFrame, text: str, rules: list[Rule], out: str = "spans") -> DataFrame:
+    """Adds the spans of all rules in rule order, without overlaps: (start, end, text, type, rule).
+
+    The cleaned text and the guards are columns of their own, so they are worked out once.
+    """
+    guards = sorted({r.guard for r in rules})
+    names = {g: f"__guard_{k}" for k, g in enumerate(guards)}
+    staged = df.withColumn("__whole", clean(F.col(text)))
+    staged = staged.withColumns({names[g]: GUARDS[g](F.col("__whole")) for g in guards})
+    staged = staged.withColumns({f"__rule_{k}": candidates(F.col("__whole"), r, k, F.col(names[r.guard])) for k, r in enumerate(rules)})
+    every = F.concat(*[F.col(f"__rule_{k}") for k in range(len(rules))])
+    return staged.withColumn("__all", every).withColumn(out, F.when(F.size("__all") > 1, no_overlap(F.col("__all"))).otherwise(F.col("__all"))).select(*df.columns, out)

@@ -128,7 +128,7 @@ def desensitize(segments: DataFrame, items: DataFrame, strategies: DataFrame | N
     """Rewrite all items' places; see ``entity_values`` for the state that may be given."""
     spark = segments.sparkSession
     strategies = strategies if strategies is not None else strategies_table(spark)
-    placed = with_place(items)
+    placed = keep(with_place(items), "items")  # detection runs once
     values, used = entity_values(placed.select("text", "type", "place"), strategies, language, prior, aliases, counters, seed)
     values = keep(values, "replacements")
     done = placed.join(values, ["text", "type"], "left")
@@ -138,7 +138,7 @@ def desensitize(segments: DataFrame, items: DataFrame, strategies: DataFrame | N
     old = prior if prior is not None else spark.createDataFrame([], MAPPING)
     added = new.unionByName(primaries).dropDuplicates(["original_text", "type"])
     state = old.select("original_text", "type", "replaced_text", "strategy").unionByName(added.join(old, ["original_text", "type"], "left_anti"))
-    return Result(splice_items(segments, done), mappings, summary(items), state, used)
+    return Result(splice_items(segments, done), mappings, summary(placed), state, used)
 
 
 def desensitize_by_template(segments: DataFrame, items: DataFrame, entries: DataFrame, prior: DataFrame | None = None) -> Result:
@@ -147,6 +147,7 @@ def desensitize_by_template(segments: DataFrame, items: DataFrame, entries: Data
     template = entries.where("replacement is not null").groupBy(F.col("text").alias("t_text")).agg(F.max_by("replacement", "entry_idx").alias("t_value"))
     old = prior if prior is not None else spark.createDataFrame([], MAPPING)
     known = old.select(F.col("original_text").alias("p_text"), F.col("type").alias("p_type"), F.col("replaced_text").alias("p_value"))
-    done = with_place(items).join(template, F.col("text") == F.col("t_text"), "left").join(known, (F.col("text") == F.col("p_text")) & (F.col("type") == F.col("p_type")), "left")
+    placed = keep(with_place(items), "items")
+    done = placed.join(template, F.col("text") == F.col("t_text"), "left").join(known, (F.col("text") == F.col("p_text")) & (F.col("type") == F.col("p_type")), "left")
     done = done.withColumn("replaced", F.coalesce("t_value", "p_value")).withColumn("strategy", F.lit(REPLACE))
-    return Result(splice_items(segments, done), mapping_table(done), summary(items), old, spark.createDataFrame([], "bucket string, n long"))
+    return Result(splice_items(segments, done), mapping_table(done), summary(placed), old, spark.createDataFrame([], "bucket string, n long"))

@@ -13,6 +13,12 @@ SOURCE_RANK = {"Regex": 0, "Dict": 1, "Ner": 2, "Manual": 3}
 KEYS = ["file_id", "sheet_index", "row", "col"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in fewer partitions than there are cores, dealt over the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def segments_of_documents(docs: DataFrame, file_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One segment for each row of a table of texts."""
     return docs.select(F.col(file_id).cast("string").alias("file_id"), F.lit(0).alias("sheet_index"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col(text).alias("text"))
@@ -30,7 +36,8 @@ def segments_of_table(df: DataFrame, row: Column, file_id: str, columns: list[st
 
 def detect_patterns(segments: DataFrame, language: str = "en", enabled: list[str] | None = None) -> DataFrame:
     """Items of the pattern engine; ord keeps their order in a segment (rule, then position)."""
-    found = segments.where("text is not null and text <> ''").select(*KEYS, F.posexplode(detect_spans(F.col("text"), rules_for(language))).alias("ord", "x"))
+    given = spread(segments.where("text is not null and text <> ''").select(*KEYS, "text"))
+    found = detect_spans(given, "text", rules_for(language)).select(*KEYS, F.posexplode("spans").alias("ord", "x"))
     items = found.select(*KEYS, "ord", "x.start", "x.end", "x.text", "x.type", F.lit("Regex").alias("source"), F.lit(PATTERN_CONFIDENCE).alias("confidence"))
     return items if enabled is None else items.where(F.col("type").isin(enabled))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, langid, license_scan, media, mixing, ngram_join, substring_dedup, suffix_tree_lm, token_files
+from . import decontaminate, html_text, langid, license_scan, media, mixing, ngram_join, sqltext, substring_dedup, suffix_tree_lm, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -20,4 +20,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op1_ngram_join": ngram_join.sql(), "op6_mixing": mixing.sql()}
+ORACLE_SQL = {
+    "op1_ngram_join": ngram_join.sql(),
+    "op5_substring_dedup": sqltext.SUBSTRING_DEDUP,
+    "op6_mixing": mixing.sql(),
+    "op9_decontaminate": sqltext.DECONTAMINATE,
+}

@@ -4,7 +4,7 @@ The standard library's streaming parser gives the events.  A page becomes lines:
 of text, with its number of characters, its number of tags (links weigh more), and what stands
 around it.  Blocks inside elements that are boilerplate by name or by class (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, ...) are no candidates.  Where the page marks
-its article, that is the content region.  Elsewhere the text-to-tag ratios of the candidate lines
+its article (or else its main part), that is the content region.  Elsewhere the text-to-tag ratios of the candidate lines
 are smoothed with a Gaussian, a threshold from two-means clustering separates content from the rest,
 and the region runs from the first to the last content line; every candidate line in it is kept.
 
@@ -33,13 +33,13 @@ BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".spli
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ARTICLE = frozenset("article main".split())
 CLASS_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus topbar breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets related recommended "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist reply replies respond disqus pagination pager toolbar copyright legal skip hidden".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-ARTICLE_WORDS = frozenset("article post entry story content main body".split())
+# Class words that tell a comment, a teaser or an advert that is marked up as an article.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended teaser".split())
 # Elements that a start tag closes when they are open, up to the nearest of the scope elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -52,18 +52,22 @@ class Line:
     tags: int = 0
     linked: int = 0
     skipped: bool = False
-    article: bool = False
+    #: 2 inside an article, 1 inside the main part, else 0.
+    mark: int = 0
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     if tag in BOILERPLATE:
-        return not (tag == "header" and in_article and "class" not in attrs)
+        return not (tag == "header" and in_article)
     if "hidden" in attrs or (attrs.get("role") or "").strip().lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
-    if tag in ("html", "body", "article", "main", "h1"):
+    if tag in ("html", "body", "main", "h1"):
         return False
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return bool(names.strip()) and not CLASS_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+    words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+    if tag == "article":
+        return not NO_ARTICLE.isdisjoint(words)
+    return not (CLASS_WORDS - {"header"} if in_article else CLASS_WORDS).isdisjoint(words)
 
 
 class PageLines(HTMLParser):
@@ -72,24 +76,25 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = [Line()]
-        self.open: list[tuple[str, bool, bool]] = []  # element, starts boilerplate, starts the article
-        self.boiler = self.articles = self.links = self.silent = 0
+        self.open: list[tuple[str, bool, int]] = []  # element, starts boilerplate, starts the main part (1) or the article (2)
+        self.boiler = self.links = self.silent = 0
+        self.marks = [0, 0, 0]
 
     def _break(self) -> None:
         if self.lines[-1].parts:
             self.lines.append(Line())
 
-    def _push(self, tag: str, boiler: bool, article: bool) -> None:
-        self.open.append((tag, boiler, article))
+    def _push(self, tag: str, boiler: bool, mark: int) -> None:
+        self.open.append((tag, boiler, mark))
         self.boiler += boiler
-        self.articles += article
+        self.marks[mark] += 1
         self.links += tag == "a"
         self.silent += tag in SKIP
 
     def _pop(self) -> None:
-        tag, boiler, article = self.open.pop()
+        tag, boiler, mark = self.open.pop()
         self.boiler -= boiler
-        self.articles -= article
+        self.marks[mark] -= 1
         self.links -= tag == "a"
         self.silent -= tag in SKIP
 
@@ -114,8 +119,12 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         own = dict(attrs)
-        boiler = _is_boilerplate(tag, own, self.articles > 0)
-        self._push(tag, boiler, tag in ARTICLE and not boiler and not self.boiler or (own.get("itemprop") == "articleBody") or (own.get("role") or "") in ("main", "article"))
+        boiler = _is_boilerplate(tag, own, self.marks[2] > 0)
+        role = (own.get("role") or "").strip().lower()
+        mark = 0
+        if not boiler and not self.boiler:
+            mark = 2 if tag == "article" or role == "article" or (own.get("itemprop") or "").lower() == "articlebody" else 1 if tag == "main" or role == "main" else 0
+        self._push(tag, boiler, mark)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -137,7 +146,7 @@ class PageLines(HTMLParser):
         if not line.parts:
             if data.isspace():
                 return
-            line.skipped, line.article = self.boiler > 0, self.articles > 0
+            line.skipped, line.mark = self.boiler > 0, 2 if self.marks[2] else 1 if self.marks[1] else 0
         line.parts.append(data)
         line.linked += len(data) * (self.links > 0)
 
@@ -176,9 +185,9 @@ def extract(html: str | None) -> str:
     page.close()
     lines = [(x, SPACES.sub(" ", "".join(x.parts)).strip()) for x in page.lines if not x.skipped]
     lines = [(x, text) for x, text in lines if text]
-    marked = [(x, text) for x, text in lines if x.article]
-    if marked:
-        lines = marked
+    best = max((x.mark for x, _ in lines), default=0)
+    if best:
+        lines = [(x, text) for x, text in lines if x.mark == best]
     elif lines:
         chars = np.array([len(t) - 0.9 * x.linked for x, t in lines])
         content = np.flatnonzero(content_mask(np.maximum(chars, 0), np.array([x.tags for x, _ in lines])))

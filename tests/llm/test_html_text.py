@@ -32,6 +32,15 @@ def test_div_page():
     assert all(x in ("Title & more", "Short.", *paras) for x in got)
 
 
+def test_marked_pages():
+    inner = f"<header class='entry-header'><h1>Head</h1></header><p>{para(1)}</p><aside>side</aside><p>{para(2)}</p><div class='share-buttons'>Share this</div>"
+    comment = f"<section id='c'><article class='comment'><p>{para(8)}</p></article></section>"
+    page = f"<body><header><p>{para(7)}</p></header><main><div role='alert'>Note</div><article>{inner}</article><div><p>{para(9)}</p></div></main>{comment}<div class='ad-slot'>{para(6)}</div></body>"
+    assert m.extract(page) == "\n".join(["Head", para(1), para(2)])
+    only_main = f"<body><p>{para(7)}</p><main><h1>Head</h1><p>{para(1)}</p><p>x</p></main><p>{para(9)}</p></body>"
+    assert m.extract(only_main) == "\n".join(["Head", para(1), "x"])
+
+
 def test_edges(spark):
     assert m.extract(None) == m.extract("") == m.extract("<p> &nbsp; </p>") == m.extract("<script>x</script>") == ""
     assert m.extract("plain &lt;text&gt;\n\n here") == "plain <text> here"

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import NOT_ALNUM, Words, gram_hash, mix, split_words, text_slices
 
 WINDOW = 10
@@ -179,6 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     One pass over the documents for each block of items; a pass adds to the spans of those before.
     """
+    bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
     found = docs.select("doc_id", "text", F.struct(*rest).alias("rest"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for block in item_blocks(benchmark, block_bytes):

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import text_slices
 
 PER_LANG = 500
@@ -189,16 +190,20 @@ PREDICTED = "lang_pred string, score double"
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep, F.col("text").alias("__text"), has_letter().alias("__letters"))
+    bounded_batches(docs.sparkSession)
+    text = "text" if "text" in keep else "__text"  # a text that is kept anyway goes over once
+    extra = [] if text in keep else [F.col("text").alias(text)]
+    at = len(keep) + len(extra)
+    own = docs.select(*keep, *extra, has_letter().alias("__letters"))
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*keep).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, buf, offsets in text_slices(batch, "__text", 1 << 20):
+            for rows, buf, offsets in text_slices(batch, text, 1 << 20):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 lang, score = model.predict(model.scores(buf, offsets))
-                known = part.column(len(keep) + 1)
+                known = part.column(at)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in range(len(keep))), pc.if_else(known, pa.array(lang, pa.string()), UNDETERMINED), pc.if_else(known, pa.array(score), 0.0)],
                     names=[*keep, "lang_pred", "score"],

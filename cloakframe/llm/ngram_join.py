@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
-from .words import GRAM_MUL, SPACE, mix, split_words, text_slices
+from .shared import bounded_batches, materialize
+from .words import GRAM_MUL, SPACE, give_back, mix, split_words, text_slices
 
 K = 4
 PERCENT = 85
@@ -172,24 +172,29 @@ def multiply(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels, k: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.get_field_index("node"), batch.schema.get_field_index("to")
-            for rows, buf, offsets in text_slices(batch, max_bytes=1 << 20):
+            for rows, buf, offsets in text_slices(batch):
                 doc, h = ordered_sets(*gram_sets(buf, offsets, k), levels.value)
                 n, node, _ = signatures(doc, h, len(offsets) - 1)
                 first = np.cumsum(n) - n
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                out = []
+                out, held = [], 0
                 for d, (want, to) in enumerate(zip(part.column(names[0]).to_pylist(), part.column(names[1]).to_pylist())):
                     if want != int(node[d : d + 1].view(np.int64)[0]):
                         continue  # another row with this doc_id
-                    own = np.sort(h[first[d] : first[d] + n[d]])
-                    blob = own.tobytes()
-                    out += [{"pivot": x["pivot"], "part": x["part"], "role": x["role"], "node": want, "grams": blob} for x in to]
-                for at in range(0, len(out), 500):
-                    yield pa.RecordBatch.from_pylist(out[at : at + 500], schema=SETS)
+                    blob = np.sort(h[first[d] : first[d] + n[d]]).tobytes()
+                    for x in to:
+                        out.append({"pivot": x["pivot"], "part": x["part"], "role": x["role"], "node": want, "grams": blob})
+                        held += len(blob)
+                        if held > 2 << 20:
+                            yield pa.RecordBatch.from_pylist(out, schema=SETS)
+                            out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=SETS)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = np.empty(0, np.uint64), None
         for batch in batches:
+            give_back()
             out = []
             for pivot, part, role, node, grams in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
                 h = np.frombuffer(grams.as_buffer(), np.uint64)
@@ -223,6 +228,7 @@ def open_postings(postings: DataFrame, labels: DataFrame, percent: int) -> DataF
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, pivot_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
     rows = materialize(profiles(docs, levels, k, percent), "profiles")
     full = rows.where("n > 0 and doc_id is not null")

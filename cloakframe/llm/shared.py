@@ -31,3 +31,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def sized(df: DataFrame, limit: int) -> DataFrame:
     """A materialized table, marked for broadcast only if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Smaller Arrow batches for this session: texts are far longer than the rows the default is made for."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

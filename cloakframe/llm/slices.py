@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
+from .words import give_back
 
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
@@ -75,6 +76,7 @@ def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of Arrow batches one by one."""
     for batch in batches:
         for k in range(batch.num_rows):
+            give_back()
             yield batch.slice(k, 1).to_pylist()[0]
 
 

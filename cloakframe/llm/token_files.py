@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import bounded_batches, shared_dir
 from .words import SPACE, split_words, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 MANIFEST = "shard long, tokens string, index string, n_ids long, n_docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -138,12 +138,13 @@ class ShardWriter:
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN) -> DataFrame:
     """Write the shards and return the committed manifest."""
     spark, path = docs.sparkSession, tokenizer_path or default_tokenizer()
+    bounded_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, encoder, name = TaskContext.get().partitionId(), None, None, ""
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            for rows, buf, offsets in text_slices(batch):
+            for rows, buf, offsets in text_slices(batch, max_bytes=3 << 20):
                 encoder = encoder or encoder_of(path)
                 if writer is None:
                     name = f"{out_dir}/shards/{shard:06d}-{uuid.uuid4().hex}"

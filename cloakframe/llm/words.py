@@ -7,6 +7,7 @@ working on UTF-8 bytes gives the same words as working on characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,8 +125,22 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bo
     return Words(buf, doc, start, end, counts, h)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 3 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of whole documents of about ``max_bytes``; null is empty."""
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on for later tasks, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of whole documents of about ``max_bytes``; null is empty.
+
+    Memory of earlier batches goes back to the system first (see ``give_back``).
+    """
+    give_back()
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
     if col.null_count:
         col = col.fill_null("")

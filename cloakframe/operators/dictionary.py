@@ -6,6 +6,8 @@ ones match the lower-cased text and show the original at the same characters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +44,25 @@ def builtin_entries(spark: SparkSession, language: str, first_idx: int = 0) -> D
     return spark.createDataFrame(rows, ENTRY)
 
 
-def detect_dictionary(segments: DataFrame, entries: DataFrame, language: str | None = None) -> DataFrame:
+#: Entries that go into one pass over the texts; larger dictionaries take a pass for each block.
+BLOCK_ENTRIES = 2000
+
+
+def detect_dictionary(segments: DataFrame, entries: DataFrame, language: str | None = None, block: int = BLOCK_ENTRIES) -> DataFrame:
     """Items of all entries (for a language: those of it and those of none).
 
-    A user's dictionary is a small table.  It goes into one expression over each text, so the
-    texts are read once and not joined with every entry.
+    A block of entries goes as one array into one expression over each text, so texts are not
+    joined with entries, and what is broadcast has a bound.  ord follows the entries' order.
     """
     chosen = entries.where("text is not null and text <> ''")
     if language is not None:
         chosen = chosen.where(F.col("language").isNull() | (F.col("language") == language))
+    blocks = max(1, -(-chosen.count() // block))
+    found = [_detect_block(segments, chosen.where(F.pmod(F.hash("text", "entry_idx"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _detect_block(segments: DataFrame, chosen: DataFrame) -> DataFrame:
     packed = chosen.select(F.struct("entry_idx", "text", "type", "match_mode").alias("e")).agg(F.array_sort(F.collect_list("e")).alias("entries"))
     texts = segments.where("text is not null and text <> ''").crossJoin(F.broadcast(packed))
 
@@ -63,8 +75,9 @@ def detect_dictionary(segments: DataFrame, entries: DataFrame, language: str | N
         )
 
     present = F.filter("entries", lambda e: F.contains(F.lower("text"), F.lower(e["text"])))
-    found = texts.select(*KEYS, F.posexplode(F.flatten(F.transform(present, spans))).alias("ord", "x"))
-    return found.select(*KEYS, "ord", "x.start", "x.end", "x.text", "x.type", F.lit("Dict").alias("source"), F.lit(1.0).alias("confidence"), "x.entry_idx")
+    found = texts.select(*KEYS, F.explode(F.flatten(F.transform(present, spans))).alias("x"))
+    order = F.col("x.entry_idx").cast("long") * (1 << 31) + F.col("x.start")
+    return found.select(*KEYS, order.alias("ord"), "x.start", "x.end", "x.text", "x.type", F.lit("Dict").alias("source"), F.lit(1.0).alias("confidence"), "x.entry_idx")
 
 
 def upsert_entries(entries: DataFrame, new: DataFrame) -> DataFrame:

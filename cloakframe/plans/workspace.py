@@ -72,7 +72,7 @@ class Workspace:
         record = uuid.uuid4().hex
         count = mappings.agg(F.sum("occurrences").alias("n")).first()["n"] or 0
         row = self.spark.createDataFrame([(record, file_name, int(count))], "record_id string, file_name string, sensitive_count long").select("record_id", "file_name", F.current_timestamp().alias("processed_at"), "sensitive_count", F.lit("Processed").alias("status"))
-        own = mappings.select(F.lit(record).alias("record_id"), F.lit(0).alias("rec"), F.row_number().over(_by("original_text", "type")).alias("idx"), "original_text", "replaced_text", "type", "strategy", "occurrences")
+        own = mappings.select(F.lit(record).alias("record_id"), F.lit(0).alias("rec"), F.hash("original_text", "type").alias("idx"), "original_text", "replaced_text", "type", "strategy", "occurrences")
         older = self.read("record_mappings").withColumn("rec", F.col("rec") + 1)
         history = row.unionByName(self.read("history")).orderBy(F.desc("processed_at")).limit(HISTORY_CAP)
         self.write("history", history)
@@ -99,8 +99,3 @@ class Workspace:
         sizes = rest.groupBy("primary", "type").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("primary", "type")
         self.write("aliases", rest.join(sizes, ["primary", "type"], "left_semi").select("member", "primary", "type"))
 
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(*columns)

@@ -3,13 +3,14 @@
 The standard library's streaming parser gives the events.  A page becomes lines: one for each block
 of text, with its number of characters, its number of tags (links weigh more), and what stands
 around it.  Blocks inside elements that are boilerplate by name or by class (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, ...) are no candidates.  Where the page marks
-its article (or else its main part), that is the content region.  Elsewhere the text-to-tag ratios of the candidate lines
-are smoothed with a Gaussian, a threshold from two-means clustering separates content from the rest,
-and the region runs from the first to the last content line; every candidate line in it is kept.
-
-Defined results: null or empty html, and pages without text, give an empty text; a page without
-content lines keeps its candidates; rows and null or repeated page_ids are kept as they are; other
+footers, sidebars, notices, adverts, forms, comments, ...) are no candidates.  The text-to-tag ratios
+of the candidate lines (lines that the page marks as its main part or its article count for more) are
+smoothed with a Gaussian, and a threshold from two-means clustering separates content lines from the
+rest.  They select the content region: the articles that hold content lines, with all their candidate
+lines; without such, the main part that holds some; else all candidates from the first to the last.
+
+Defined results: null or empty html, and pages without text, give an empty text; a page of
+one kind of lines keeps its candidates; rows and null or repeated page_ids are kept as they are; other
 columns are ignored.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SIGMA = 1.5
+#: Added to a line's log ratio inside the main part, and twice that inside an article.
+MARK_WEIGHT = 1.5
 
 # HTML element names by their part in a page, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +57,8 @@ class Line:
     skipped: bool = False
     #: 2 inside an article, 1 inside the main part, else 0.
     mark: int = 0
+    #: Number of that article or main part in the page.
+    section: int = 0
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -79,6 +84,7 @@ class PageLines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, starts boilerplate, starts the main part (1) or the article (2)
         self.boiler = self.links = self.silent = 0
         self.marks = [0, 0, 0]
+        self.sections = [0, 0, 0]
 
     def _break(self) -> None:
         if self.lines[-1].parts:
@@ -87,6 +93,7 @@ class PageLines(HTMLParser):
     def _push(self, tag: str, boiler: bool, mark: int) -> None:
         self.open.append((tag, boiler, mark))
         self.boiler += boiler
+        self.sections[mark] += not self.marks[mark]  # elements inside one of their kind belong to it
         self.marks[mark] += 1
         self.links += tag == "a"
         self.silent += tag in SKIP
@@ -147,6 +154,7 @@ class PageLines(HTMLParser):
             if data.isspace():
                 return
             line.skipped, line.mark = self.boiler > 0, 2 if self.marks[2] else 1 if self.marks[1] else 0
+            line.section = self.sections[line.mark]
         line.parts.append(data)
         line.linked += len(data) * (self.links > 0)
 
@@ -166,9 +174,9 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_mask(chars: np.ndarray, tags: np.ndarray) -> np.ndarray:
+def content_mask(chars: np.ndarray, tags: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Content lines: smoothed text-to-tag ratio above the clusters' threshold."""
-    ratio = np.log1p(chars / np.maximum(tags, 1))
+    ratio = np.log1p(chars / np.maximum(tags, 1)) + MARK_WEIGHT * marks
     reach = int(3 * SIGMA + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratio, kernel)[reach : reach + len(ratio)] / np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
@@ -185,13 +193,17 @@ def extract(html: str | None) -> str:
     page.close()
     lines = [(x, SPACES.sub(" ", "".join(x.parts)).strip()) for x in page.lines if not x.skipped]
     lines = [(x, text) for x, text in lines if text]
-    best = max((x.mark for x, _ in lines), default=0)
+    if not lines:
+        return ""
+    chars = np.array([len(t) - 0.9 * x.linked for x, t in lines])
+    marks = np.array([x.mark for x, _ in lines])
+    content = np.flatnonzero(content_mask(np.maximum(chars, 0), np.array([x.tags for x, _ in lines]), marks))
+    best = marks[content].max()
     if best:
-        lines = [(x, text) for x, text in lines if x.mark == best]
-    elif lines:
-        chars = np.array([len(t) - 0.9 * x.linked for x, t in lines])
-        content = np.flatnonzero(content_mask(np.maximum(chars, 0), np.array([x.tags for x, _ in lines])))
-        lines = lines[content[0] : content[-1] + 1] if len(content) else lines
+        own = {lines[k][0].section for k in content.tolist() if marks[k] == best}
+        lines = [(x, text) for x, text in lines if x.mark == best and x.section in own]
+    else:
+        lines = lines[content[0] : content[-1] + 1]
     return "\n".join(text for _, text in lines)
 
 

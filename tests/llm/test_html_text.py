@@ -41,6 +41,17 @@ def test_marked_pages():
     assert m.extract(only_main) == "\n".join(["Head", para(1), "x"])
 
 
+def test_ratios_choose_among_marked_articles():
+    """Teasers that are marked up as articles hold no content line; a short line of the article stays."""
+    teasers = "".join(f"<article><h3><a href={i}>More {i}</a></h3><p><a href={i}>Read on</a></p></article>" for i in range(6))
+    article = "".join(f"<p>{para(i)}</p>" for i in range(6)) + "<p>End.</p>"
+    assert m.extract(f"<body><article>{article}</article><div>{teasers}</div></body>") == "\n".join([*map(para, range(6)), "End."])
+    assert m.extract(f"<body><div>{teasers}</div><article>{article}</article></body>") == "\n".join([*map(para, range(6)), "End."])
+    # long text beside a short article
+    beside = "".join(f"<p>{para(i)} {para(i)}</p>" for i in range(8))
+    assert m.extract(f"<body><div>{beside}</div><article><h1>Short</h1><p>A few words.</p><p>And these.</p></article></body>") == "Short\nA few words.\nAnd these."
+
+
 def test_edges(spark):
     assert m.extract(None) == m.extract("") == m.extract("<p> &nbsp; </p>") == m.extract("<script>x</script>") == ""
     assert m.extract("plain &lt;text&gt;\n\n here") == "plain <text> here"

@@ -3,8 +3,8 @@
 ``encode_media`` wraps bytes as 8-bit companded samples in a WAV file (a binary column), without
 loss.  ``decode_media`` reads such a column back: companded samples go through 256-entry lookup
 tables, ADPCM blocks are decoded side by side (one numpy step per nibble position, across all
-blocks), and the PCM is resampled and stored as a 16-bit WAV column.  ``op2_media`` stores the
-documents' bytes, reads the stored form back and describes the audio.
+blocks), and the PCM is resampled and stored as a 16-bit WAV column.  ``op2_media`` writes the
+documents' bytes as a table of media, reads the stored form back and describes the audio.
 
 Defined results: null text is empty, so its payload is 64 zero bytes; equal texts give equal
 values; rows and null or repeated doc_ids are kept as they are; an empty table gives no rows;
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import bounded_batches, materialize
 from .words import text_slices
 
 BLOCK = 64
@@ -218,4 +219,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    bounded_batches(spark)
+    media = encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media_features(materialize(media, "media"))

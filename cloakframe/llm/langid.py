@@ -4,8 +4,8 @@ A text's language family is predicted first; within a family, one-versus-one lin
 machines vote on the language.  All machines share one feature vector: counts of hashed 1- to
 4-grams of the lower-cased UTF-8 bytes (anything but letters counts as one blank), scaled to unit
 length.  The machines are trained on the driver, on a sample of labelled rows with a documented
-bound (``per_lang`` rows of each language, at most ``max_rows`` in all, chosen by a hash of
-doc_id); prediction runs over every whole text.
+bound (``per_lang`` rows of each of the ``max_langs`` most frequent languages, at most ``max_rows``
+in all, chosen by a hash of doc_id); prediction runs over every whole text.
 
 Families are a fixed table; languages it doesn't have form a family each.
 
@@ -31,6 +31,7 @@ from .words import text_slices
 
 PER_LANG = 500
 MAX_ROWS = 4000
+MAX_LANGS = 64
 BITS = 12
 ORDERS = 4
 UNDETERMINED = "und"
@@ -159,10 +160,10 @@ def has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> Model:
     """Train on at most ``max_rows`` labelled rows, about ``per_lang`` of each language."""
     labelled = docs.where("lang is not null and text is not null").withColumn("__h", F.abs(F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_000_007))
-    counts = dict(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect())
+    counts = dict(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
     if not counts:
         return Model([])
     per_lang = min(per_lang, max_rows // len(counts))

@@ -2,7 +2,8 @@
 
 Templates and documents are lower-cased words.  The 3-word shingles of a text are winnowed: each
 window of 2 consecutive shingles keeps its smallest hash, so any 4 words in common share a
-fingerprint.  The templates' fingerprints form an inverted index (small: it follows the number of
+fingerprint.  Templates shorter than that share one with every text that holds them only if all
+shingles of the text are looked up, so theirs are.  The templates' fingerprints form an inverted index (small: it follows the number of
 templates); a document's fingerprints are looked up in it, and hits on neighbouring diagonals
 make a candidate place.  There the template is aligned with the document's words inside a band
 around the diagonal.  An alignment that covers at least ``min_coverage`` of the template's words
@@ -33,8 +34,8 @@ MIN_COVERAGE = 0.8
 BAND = 8
 
 
-def winnow(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the fingerprints: least shingles of each window of one document."""
+def winnow(w: Words, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the fingerprints: least shingles of each window of one document, and those in ``short``."""
     at, h = w.grams(SHINGLE)
     if not len(at):
         return at, h
@@ -44,7 +45,8 @@ def winnow(w: Words) -> tuple[np.ndarray, np.ndarray]:
     keep[:-1] |= same & left
     keep[1:] |= same & (h[1:] <= h[:-1])
     alone = np.concatenate([[True], ~same]) & np.concatenate([~same, [True]])
-    return at[keep | alone], h[keep | alone]
+    keep |= alone | np.isin(h, short)
+    return at[keep], h[keep]
 
 
 def words_of(text: str) -> Words:
@@ -53,21 +55,25 @@ def words_of(text: str) -> Words:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints; ``short``: those of templates that no window of a text may cover."""
 
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = [], []
         postings = defaultdict(list)
+        short = set()
         for name, text in sorted(templates.items()):
             w = words_of(text)
             if len(w.hash) < SHINGLE:
                 continue  # too short to tell from prose
             for at, h in zip(*(x.tolist() for x in w.grams(SHINGLE))):
                 postings[h].append((len(self.names), at))
+                if len(w.hash) < SHINGLE + WINNOW - 1:
+                    short.add(h)
             self.names.append(name)
             self.words.append(w.hash)
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[k] for k in self.keys.tolist()]
+        self.short = np.array(sorted(short), np.uint64)
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -103,7 +109,7 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 
 def scan_words(w: Words, index: Index, min_coverage: float, band: int) -> dict[int, list[tuple[str, float, int, int, int]]]:
     """Reports (template, coverage, start, end, matched) by document."""
-    at, h = winnow(w)
+    at, h = winnow(w, index.short)
     if not len(at) or not len(index.keys):
         return {}
     where = np.minimum(np.searchsorted(index.keys, h), len(index.keys) - 1)

@@ -17,5 +17,6 @@ TEMPLATES = {
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc0-line": "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
+    "all-rights-reserved": "All rights reserved.",
     "rights-reserved-line": "All rights reserved. No part of this work may be reproduced without permission.",
 }

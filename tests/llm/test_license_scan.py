@@ -53,3 +53,20 @@ def test_edges(spark):
     assert got == sorted(want, key=repr)
     assert m.scan(df.limit(0)).collect() == []
     assert all(not r.matches for r in m.scan(df, {}).collect())
+
+
+def test_all_rights_reserved():
+    """The three words are found wherever they stand, as brute force finds them; the longer line keeps its own name."""
+    rng = random.Random(7)
+    index, p = m.Index(TEMPLATES), ["all", "rights", "reserved"]
+    for k in range(300):
+        body = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(12))]
+        for _ in range(k % 3 + 1):
+            at = rng.choice([0, len(body) // 2, len(body)])
+            body[at:at] = p
+        want = [(i, i + 3) for i in range(len(body) - 2) if body[i : i + 3] == p]
+        found = m.scan_words(m.words_of(" ".join(body)), index, 0.8, m.BAND).get(0, [])
+        assert [(r[0], r[2], r[3]) for r in found] == [("all-rights-reserved", *x) for x in want], body
+    line = TEMPLATES["rights-reserved-line"]
+    assert [r[0] for r in m.scan_words(m.words_of(f"a b {line} c d"), index, 0.8, m.BAND)[0]] == ["rights-reserved-line"]
+    assert 0 not in m.scan_words(m.words_of("all rights are reserved and all rights"), index, 0.8, m.BAND)

@@ -3,7 +3,10 @@
 The standard library's streaming parser gives the events.  A page becomes lines: one for each block
 of text, with its number of characters, its number of tags (links weigh more), and what stands
 around it.  Blocks inside elements that are boilerplate by name or by class (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, ...) are no candidates.  The text-to-tag ratios
+footers, sidebars, notices, adverts, forms, comments, ...) are no candidates.  What only a class or id
+names is decided after parsing: an element that holds more than half of the page's text stays, and so
+does one that holds an article (or main part) where none stands outside such elements; in an article,
+words that may name its matter (``MATTER``) discard an element only if the ratios show no content in it.  The text-to-tag ratios
 of the candidate lines (lines that the page marks as its main part or its article count for more) are
 smoothed with a Gaussian, and a threshold from two-means clustering separates content lines from the
 rest.  They select the content region: the articles that hold content lines, with all their candidate
@@ -17,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 SIGMA = 1.5
 #: Added to a line's log ratio inside the main part, and twice that inside an article.
 MARK_WEIGHT = 1.5
+#: Characters of a line that tell a block of an article from a button or a label.
+LEAST_TEXT = 40
 
 # HTML element names by their part in a page, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +49,8 @@ CLASS_WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Class words that tell a comment, a teaser or an advert that is marked up as an article.
 NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended teaser".split())
+# Class words that may tell what a block of an article is about.
+MATTER = frozenset("related recommended legal search side social alert notice notices copyright skip login share sharing".split())
 # Elements that a start tag closes when they are open, up to the nearest of the scope elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -59,20 +67,29 @@ class Line:
     mark: int = 0
     #: Number of that article or main part in the page.
     section: int = 0
+    #: Numbers of the open elements that a class or id names as boilerplate.
+    named: tuple[int, ...] = ()
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """By its element, role or visibility; an article also by its class."""
     if tag in BOILERPLATE:
         return not (tag == "header" and in_article)
     if "hidden" in attrs or (attrs.get("role") or "").strip().lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
-    if tag in ("html", "body", "main", "h1"):
-        return False
+    return tag == "article" and not NO_ARTICLE.isdisjoint(_class_words(attrs))
+
+
+def _class_words(attrs: dict[str, str | None]) -> set[str]:
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
-    if tag == "article":
-        return not NO_ARTICLE.isdisjoint(words)
-    return not (CLASS_WORDS - {"header"} if in_article else CLASS_WORDS).isdisjoint(words)
+    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+
+
+def _named_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> set[str]:
+    """The words of class and id that name an element as boilerplate."""
+    if tag in ("html", "body", "main", "h1", "article") or not ("class" in attrs or "id" in attrs):
+        return set()
+    return _class_words(attrs) & (CLASS_WORDS - {"header"} if in_article else CLASS_WORDS)
 
 
 class PageLines(HTMLParser):
@@ -81,7 +98,9 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = [Line()]
-        self.open: list[tuple[str, bool, int]] = []  # element, starts boilerplate, starts the main part (1) or the article (2)
+        self.open: list[tuple[str, bool, int, bool]] = []  # element, starts boilerplate, starts the main part (1) or the article (2), is named boilerplate
+        self.named: list[int] = []
+        self.matter: list[bool] = []  # of each named element: in an article, by words that may name its matter
         self.boiler = self.links = self.silent = 0
         self.marks = [0, 0, 0]
         self.sections = [0, 0, 0]
@@ -90,8 +109,8 @@ class PageLines(HTMLParser):
         if self.lines[-1].parts:
             self.lines.append(Line())
 
-    def _push(self, tag: str, boiler: bool, mark: int) -> None:
-        self.open.append((tag, boiler, mark))
+    def _push(self, tag: str, boiler: bool, mark: int, named: bool) -> None:
+        self.open.append((tag, boiler, mark, named))
         self.boiler += boiler
         self.sections[mark] += not self.marks[mark]  # elements inside one of their kind belong to it
         self.marks[mark] += 1
@@ -99,7 +118,9 @@ class PageLines(HTMLParser):
         self.silent += tag in SKIP
 
     def _pop(self) -> None:
-        tag, boiler, mark = self.open.pop()
+        tag, boiler, mark, named = self.open.pop()
+        if named:
+            self.named.pop()
         self.boiler -= boiler
         self.marks[mark] -= 1
         self.links -= tag == "a"
@@ -131,7 +152,11 @@ class PageLines(HTMLParser):
         mark = 0
         if not boiler and not self.boiler:
             mark = 2 if tag == "article" or role == "article" or (own.get("itemprop") or "").lower() == "articlebody" else 1 if tag == "main" or role == "main" else 0
-        self._push(tag, boiler, mark)
+        words = set() if boiler or self.boiler else _named_boilerplate(tag, own, self.marks[2] > 0)
+        if words:
+            self.named.append(len(self.matter))
+            self.matter.append(self.marks[2] > 0 and words <= MATTER)
+        self._push(tag, boiler, mark, bool(words))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -154,7 +179,7 @@ class PageLines(HTMLParser):
             if data.isspace():
                 return
             line.skipped, line.mark = self.boiler > 0, 2 if self.marks[2] else 1 if self.marks[1] else 0
-            line.section = self.sections[line.mark]
+            line.section, line.named = self.sections[line.mark], tuple(self.named)
         line.parts.append(data)
         line.linked += len(data) * (self.links > 0)
 
@@ -185,6 +210,32 @@ def content_mask(chars: np.ndarray, tags: np.ndarray, marks: np.ndarray) -> np.n
     return smooth > two_means(smooth)
 
 
+def _content(lines: list[tuple[Line, str]]) -> np.ndarray:
+    """Indices of the content lines."""
+    chars = np.array([len(t) - 0.9 * x.linked for x, t in lines])
+    marks = np.array([x.mark for x, _ in lines])
+    return np.flatnonzero(content_mask(np.maximum(chars, 0), np.array([x.tags for x, _ in lines]), marks))
+
+
+def without_named(lines: list[tuple[Line, str]], matter: list[bool]) -> list[tuple[Line, str]]:
+    """The lines but those of elements that a class or id names as boilerplate, where the page agrees."""
+    size, mark = Counter(), defaultdict(int)
+    for x, text in lines:
+        for k in x.named:
+            size[k] += len(text)
+            mark[k] = max(mark[k], x.mark)
+    if not size:
+        return lines
+    total = sum(len(text) for _, text in lines)
+    outside = max((x.mark for x, _ in lines if all(matter[k] or 2 * size[k] > total for k in x.named)), default=0)
+    stay = {k for k in size if 2 * size[k] > total or mark[k] > outside}
+    if any(matter[k] for k in size):
+        # inside an article the mark is the article's own: only the ratios tell
+        stay -= {k for k in size if matter[k]}
+        stay |= {k for i in _content(lines).tolist() for k in lines[i][0].named if matter[k] and len(lines[i][1]) > 2 * lines[i][0].linked and len(lines[i][1]) >= LEAST_TEXT}
+    return [(x, text) for x, text in lines if all(k in stay for k in x.named)]
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -192,12 +243,11 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     lines = [(x, SPACES.sub(" ", "".join(x.parts)).strip()) for x in page.lines if not x.skipped]
-    lines = [(x, text) for x, text in lines if text]
+    lines = without_named([(x, text) for x, text in lines if text], page.matter)
     if not lines:
         return ""
-    chars = np.array([len(t) - 0.9 * x.linked for x, t in lines])
     marks = np.array([x.mark for x, _ in lines])
-    content = np.flatnonzero(content_mask(np.maximum(chars, 0), np.array([x.tags for x, _ in lines]), marks))
+    content = _content(lines)
     best = marks[content].max()
     if best:
         own = {lines[k][0].section for k in content.tolist() if marks[k] == best}

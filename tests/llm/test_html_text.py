@@ -64,3 +64,18 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a</p>", None), (None, "u", "<p>a</p>", None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, m.extract_pages(df).collect()), key=repr) == sorted([(1, None, ""), (1, "u", "a"), (None, "u", "a")], key=repr)
     assert m.extract_pages(df.limit(0)).collect() == []
+
+
+def test_layout_wrappers():
+    """A class or id word of a wrapper does not discard the article, the main part or most of the text."""
+    paras = "".join(f"<p>{para(i)}</p>" for i in range(5))
+    want = "\n".join(map(para, range(5)))
+    side = f"<div class='sidebar'><p>{para(7)}</p></div>"
+    for wrapper in ("class='layout has-sidebar'", "id='page' class='no-sidebar'", "class='content with-widgets'"):
+        for inner in (f"<article>{paras}</article>", f"<main>{paras}</main>", f"<div>{paras}</div>"):
+            assert m.extract(f"<body><div {wrapper}>{inner}{side}</div></body>") == want
+    # an article in a named element beside the page's own
+    assert m.extract(f"<body><article>{paras}</article><div class='related'><article><p>{para(8)}</p></article></div></body>") == want
+    for block in ("related-work", "legal", "search-terms"):
+        got = m.extract(f"<body><article>{paras}<div class='{block}'><p>{para(6)}</p></div></article></body>")
+        assert got == f"{want}\n{para(6)}"

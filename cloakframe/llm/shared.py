@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; a local folder only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cloakframe.shared.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
         spark.conf.set("cloakframe.shared.dir", base)
     if "://" not in base:
@@ -33,6 +35,11 @@ def sized(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def partitions_for(docs: DataFrame) -> int:
+    """Partitions for a shuffle of whole rows: they follow the input's own splits, so their size stays bounded."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+
+
 def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
     """Smaller Arrow batches for this session: texts are far longer than the rows the default is made for."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

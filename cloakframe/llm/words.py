@@ -116,13 +116,22 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bo
     end = np.flatnonzero(inside & ~after) + 1
     counts = np.diff(np.searchsorted(start, offsets))
     doc = np.repeat(np.arange(len(counts)), counts)
-    h = None
-    if hashed:
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODE[buf] * up[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(buf, doc, start, end, counts, h)
+    return Words(buf, doc, start, end, counts, span_hashes(buf, start, end) if hashed else None)
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings ``buf[start[i]:end[i]]``."""
+    n = len(buf)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_CODE[buf] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices begins[i] .. begins[i] + lengths[i] - 1 of every i, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _LIBC = ctypes.CDLL(None)
@@ -135,12 +144,13 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20, trim: bool = True) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of whole documents of about ``max_bytes``; null is empty.
 
-    Memory of earlier batches goes back to the system first (see ``give_back``).
+    Memory of earlier batches goes back to the system first (see ``give_back``), unless ``trim`` is off.
     """
-    give_back()
+    if trim:
+        give_back()
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
     if col.null_count:
         col = col.fill_null("")
@@ -153,3 +163,26 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1
         own = offsets[lo : hi + 1]
         yield slice(lo, hi), data[own[0] : own[-1]], own - own[0]
         lo = hi
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, bytes, offsets) of whole documents in runs of about ``run_bytes`` over several batches."""
+    ids, parts, counts, held = [], [], [], 0
+
+    def run() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        out = pa.concat_arrays(ids), np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
+        ids.clear(), parts.clear(), counts.clear()
+        give_back()
+        return out
+
+    for batch in batches:
+        for rows, buf, offsets in text_slices(batch, max_bytes=run_bytes, trim=False):
+            ids.append(batch.column(0)[rows.start : rows.stop])
+            parts.append(buf)
+            counts.append(np.diff(offsets))
+            held += len(buf)
+            if held >= run_bytes:
+                yield run()
+                held = 0
+    if ids:
+        yield run()

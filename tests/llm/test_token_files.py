@@ -29,7 +29,7 @@ def test_whole_table(spark, sf_dir):
         for i in range(sum(reader.get_batch(k).num_rows for k in range(reader.num_record_batches))):
             ids, mask = m.sequence(reader, i)
             assert len(ids) == len(mask) == 128
-            flat += ids[mask].tolist()
+            flat += ids[mask.to_numpy(zero_copy_only=False)].tolist()
     assert len(flat) == total
 
 

@@ -6,7 +6,7 @@ are the index, and every rolling window of ``BLOCK`` words is a probe; since WIN
 any common window holds a whole index block of either document.  Probes and index blocks meet as
 4-byte fingerprints in hash buckets, one packed row for each slice and bucket, and a bit for each
 entry comes back.  Hits are then extended: of the slices' places with hits, the exact windows
-around them are hashed (64 bits) and the first slice of each is found the same way.  Overlapping
+around them are hashed (64 bits) and the least rank of a slice with each is found the same way.  Overlapping
 windows join to the maximal repeats whose words go.
 
 Before anything is sent, a slice (see ``slices``) resolves what repeats inside it and sends one
@@ -31,29 +31,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .slices import build_slices, slice_rows, total_bytes, unpack
+from .slices import SLICE_BYTES, bucket_of, build_slices, packed_rows, slice_rows, total_bytes, unpack
 from .words import SPACE, Words, split_words
 
 WINDOW = 13
 BLOCK = 7
-#: Bytes of text for each hash bucket, and bounds on their number.
+#: Bytes of text for each hash bucket.
 BUCKET_TEXT = 2 << 20
-BUCKETS = (256, 16384)
-ENTRY = "bucket int, slice long, entries binary"
-FLAGS = "slice long, bucket int, bits binary"
+ENTRY = "bucket long, slice long, entries binary"
+FLAGS = "slice long, bucket long, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-ENTRY_SCHEMA = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("entries", pa.binary())])
-FLAG_SCHEMA = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+ENTRY_SCHEMA = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("entries", pa.binary())])
+WINDOW_SCHEMA = ENTRY_SCHEMA.append(pa.field("rank", pa.int64()))
+FLAG_SCHEMA = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+#: Bits of a fingerprint within its bucket.
+PRINT = np.uint64(30)
 
 
 @dataclass
@@ -72,15 +66,16 @@ class Anchors:
     def of(cls, offsets: np.ndarray, text: np.ndarray, ids: np.ndarray, buckets: int) -> Anchors:
         w = split_words(text, offsets, SPACE)
         at, h = w.grams(BLOCK)
-        # bucket, then 30 bits of fingerprint: two hashes that agree on both are one entry
-        key = (_bucket(h, buckets).astype(np.uint64) << np.uint64(30)) | (h & np.uint64((1 << 30) - 1))
+        # bucket, then a fingerprint: two hashes that agree on both are one entry
+        mask = np.uint64((1 << 30) - 1)
+        key = (bucket_of(h, buckets).astype(np.uint64) << PRINT) | (h & mask)
         keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         inverse = inverse.reshape(-1)
         aligned, shared = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         aligned[inverse[(at - w.first[w.doc[at]]) % BLOCK == 0]] = True
         owner = ids[w.doc[at]]
         shared[inverse[owner != owner[first][inverse]]] = True
-        return cls(w, at, inverse, (keys >> np.uint64(30)).astype(np.int64), (keys & np.uint64((1 << 30) - 1)).astype(np.uint32), aligned, shared)
+        return cls(w, at, inverse, (keys >> PRINT).astype(np.int64), (keys & mask).astype(np.uint32), aligned, shared)
 
     def windows(self, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of the exact windows that hold an active anchor."""
@@ -92,19 +87,12 @@ class Anchors:
         return at[near], h[near]
 
 
-def _send(bucket: np.ndarray, entries: np.ndarray, number: int) -> Iterator[dict]:
-    """One row for each bucket of a slice; bucket is sorted."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-        if hi > lo:
-            yield {"bucket": int(bucket[lo]), "slice": number, "entries": entries[lo:hi].tobytes()}
-
-
 def _received(bits: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
     """The flags that came back, in entry order."""
     out = np.zeros(len(bucket), bool)
-    for x in bits or ():
-        lo, hi = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+    bits = bits or []
+    names = np.array([x["bucket"] for x in bits], np.int64)
+    for x, lo, hi in zip(bits, np.searchsorted(bucket, names).tolist(), np.searchsorted(bucket, names, "right").tolist()):
         out[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
     return out
 
@@ -117,21 +105,21 @@ def _exact(a: Anchors, active: np.ndarray, ids: np.ndarray, buckets: int) -> tup
     owner = ids[a.words.doc[at]]
     least = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, owner)
-    return at, inverse, _bucket(keys, buckets), keys, least
+    return at, inverse, bucket_of(keys, buckets), keys, least
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, slice_bytes: int = SLICE_BYTES, bucket_text: int = BUCKET_TEXT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     size = total_bytes(docs)
-    buckets = int(min(max(BUCKETS[0], -(-size // BUCKET_TEXT)), BUCKETS[1]))
-    slices = build_slices(docs.where("doc_id is not null"), size)
+    buckets = max(16, -(-size // bucket_text))
+    slices = build_slices(docs.where("doc_id is not null"), size, slice_bytes)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in slice_rows(batches):
             ids, offsets, text = unpack(row)
             a = Anchors.of(offsets, text, ids, buckets)
             entries = (a.print32 << np.uint32(2)) | (a.aligned.astype(np.uint32) << np.uint32(1)) | a.shared
-            yield _batch(list(_send(a.bucket, entries.astype(np.uint32), row["slice"])), ENTRY_SCHEMA)
+            yield packed_rows(ENTRY_SCHEMA, row["slice"], a.bucket, [entries.astype(np.uint32)])
 
     def meet_anchors(table: pa.Table) -> pa.Table:
         """Anchors with an index block that stand in two documents."""
@@ -149,13 +137,15 @@ def dedup(docs: DataFrame) -> DataFrame:
             ids, offsets, text = unpack(row)
             a = Anchors.of(offsets, text, ids, buckets)
             _, _, bucket, keys, _ = _exact(a, _received(row["anchors"], a.bucket), ids, buckets)
-            yield _batch(list(_send(bucket, keys, row["slice"])), ENTRY_SCHEMA)
+            ranks = np.full(int((np.diff(bucket, prepend=-1) != 0).sum()), row["rank"], np.int64)
+            rows = packed_rows(ENTRY_SCHEMA, row["slice"], bucket, [keys])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ranks)], schema=WINDOW_SCHEMA)
 
     def meet_windows(table: pa.Table) -> pa.Table:
-        """Windows that an earlier slice holds."""
+        """Windows that a slice of lower rank holds."""
         parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("entries")]
         every = np.concatenate(parts)
-        number = np.repeat(table.column("slice").to_numpy(), [len(p) for p in parts])
+        number = np.repeat(table.column("rank").to_numpy(), [len(p) for p in parts])
         keys, inverse = np.unique(every, return_inverse=True)
         first = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(first, inverse.reshape(-1), number)
@@ -176,7 +166,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     anchors = materialize(_back(slices.mapInArrow(send_anchors, ENTRY).groupBy("bucket").applyInArrow(meet_anchors, FLAGS), "anchors"), "anchors")
     hit = slices.join(anchors.hint("shuffle_hash"), "slice", "left")
-    windows = _back(hit.mapInArrow(send_windows, ENTRY).groupBy("bucket").applyInArrow(meet_windows, FLAGS), "windows")
+    windows = _back(hit.mapInArrow(send_windows, f"{ENTRY}, rank long").groupBy("bucket").applyInArrow(meet_windows, FLAGS), "windows")
     done = hit.join(windows.hint("shuffle_hash"), "slice", "left").mapInArrow(finish, RESULT)
     return done.unionByName(without_id(docs))
 

@@ -8,16 +8,14 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_whole_table(spark, sf_dir, monkeypatch):
+def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    monkeypatch.setattr(slices.build_slices, "__defaults__", (20_000,))
     want = sorted(m.brute_force([(r.doc_id, r.text) for r in docs.collect()]), key=repr)
-    assert rows(m.dedup(docs)) == want
+    assert rows(m.dedup(docs, 20_000, 3_000)) == want
     assert sum(r[2] > 0 for r in want) > 10
 
 
-def test_random_overlaps(spark, monkeypatch):
-    monkeypatch.setattr(slices.build_slices, "__defaults__", (2_000,))
+def test_random_overlaps(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(50)}" for _ in range(400)]
     data = []
@@ -28,7 +26,21 @@ def test_random_overlaps(spark, monkeypatch):
             w += base[a : a + n] + [f"s{rng.randrange(9)}"] * rng.randrange(15)
         data.append((rng.randrange(1000), rng.choice([" ", "\n", "\t  "]).join(w)))
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert rows(m.dedup(df)) == sorted(m.brute_force(data), key=repr)
+    assert rows(m.dedup(df, 2_000, 1_000)) == sorted(m.brute_force(data), key=repr)
+
+
+def test_one_doc_id_for_many_rows(spark):
+    """Slices end inside the rows of one doc_id, which are no sources for each other."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(50)}" for _ in range(300)]
+    data = []
+    for _ in range(400):
+        a = rng.randrange(250)
+        data.append((rng.choice([1, 7, 7, 7, 7, 7, 7, 7, 8, 9, 20]), " ".join(base[a : a + rng.randrange(40)])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    sizes = [(r.slice, r.rank, len(r.text)) for r in slices.build_slices(df, 1, 1_500).collect()]
+    assert len(sizes) > 20 and max(n for *_, n in sizes) < 1_800
+    assert rows(m.dedup(df, 1_500)) == sorted(m.brute_force(data), key=repr)
 
 
 def test_edges(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def sized(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of shuffles that no DataFrame needs any more; call it after a ``materialize``."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(docs: DataFrame) -> int:
     """Partitions for a shuffle of whole rows: they follow the input's own splits, so their size stays bounded."""
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())

@@ -111,18 +111,38 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """One binary value for each run of data between two cuts, without a copy."""
+def _binary(data: np.ndarray, cuts: np.ndarray, planes: bool) -> pa.Array:
+    """One binary value for each run of data between two cuts, without a copy; planes: bytes of one place together."""
+    size = data.itemsize
+    if planes and len(data):
+        lengths = np.diff(cuts)
+        place, step = np.arange(len(data)) + np.repeat(cuts[:-1] * (size - 1), lengths), np.repeat(lengths, lengths)
+        raw, data = np.ascontiguousarray(data).view(np.uint8).reshape(-1, size), np.empty(len(data) * size, np.uint8)
+        for k in range(size):
+            data[place + k * step] = raw[:, k]
     data = np.ascontiguousarray(data)
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def packed_rows(schema: pa.Schema, number: int, bucket: np.ndarray, columns: list[np.ndarray], bucket2: np.ndarray | None = None, columns2: list[np.ndarray] | tuple = ()) -> pa.RecordBatch:
-    """A row for each bucket: entries (columns, with ascending ``bucket``) and groups of them (columns2, with ``bucket2``)."""
+def to_planes(data: np.ndarray) -> bytes:
+    """The bytes of one place together: numbers that are small most of the time compress far better so."""
+    return np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes | memoryview | pa.Buffer, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def packed_rows(schema: pa.Schema, number: int, bucket: np.ndarray, columns: list[np.ndarray], bucket2: np.ndarray | None = None, columns2: list[np.ndarray] | tuple = (), planes: tuple[int, ...] = ()) -> pa.RecordBatch:
+    """A row for each bucket: entries (columns, with ascending ``bucket``) and groups of them (columns2, with ``bucket2``).
+
+    ``planes``: places of the columns that are stored as ``to_planes`` does.
+    """
     cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     names = bucket[cuts[:-1]]
     cuts2 = np.append(np.searchsorted(bucket2, names), len(bucket2)) if columns2 else None
-    values = [_binary(c, cuts) for c in columns] + [_binary(c, cuts2) for c in columns2]
+    values = [_binary(c, cuts if k < len(columns) else cuts2, k in planes) for k, c in enumerate([*columns, *columns2])]
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), number, np.int64)), *values], schema=schema)
 
 

@@ -55,7 +55,8 @@ def partitions_for(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
-def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 250, size: int = 4 << 20) -> None:
     """Smaller Arrow batches for this session: texts are far longer than the rows the default is made for."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

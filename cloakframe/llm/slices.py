@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions_for, shared_dir
+from .shared import brief_shuffles, partitions_for, shared_dir
 from .words import give_back
 
 SLICE_BYTES = 4 << 20
@@ -95,15 +95,20 @@ def build_slices(docs: DataFrame, size: int, slice_bytes: int = SLICE_BYTES) ->
     tie = F.xxhash64("text")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     ordered = rows.repartitionByRange(partitions_for(docs), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    return bucketed(ordered.mapInArrow(cut, SCHEMA), size)
+    return bucketed(ordered.mapInArrow(cut, SCHEMA), table_buckets(docs.sparkSession, size))
 
 
-def bucketed(slices: DataFrame, size: int) -> DataFrame:
-    """The slices as a table of its own, bucketed by slice; size: bytes of all texts."""
+def table_buckets(spark: SparkSession, size: int) -> int:
+    """Buckets of the tables of slices; size: bytes of all texts."""
+    return min(max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), 100_000)
+
+
+def bucketed(slices: DataFrame, buckets: int) -> DataFrame:
+    """The rows as a table of its own, bucketed by slice."""
     spark = slices.sparkSession
     name = f"cloakframe_slices_{uuid.uuid4().hex}"
-    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    slices.write.bucketBy(min(buckets, 100_000), "slice").option("compression", "zstd").option("path", shared_dir(spark, "slices")).saveAsTable(name)
+    with brief_shuffles(spark):
+        slices.write.bucketBy(buckets, "slice").option("compression", "zstd").option("path", shared_dir(spark, "slices")).saveAsTable(name)
     return spark.table(name)
 
 

@@ -7,8 +7,8 @@ the last block that pick the patterns to compare.  Documents are cut into chunks
 pattern less one word, and all chunks of a slice move through the shift table side by side, so the
 skipping is vectorised without a Python step per word.  Every hit is confirmed by comparing words.
 
-The benchmark is the stated pattern set.  It is searched in blocks of at most ``block_bytes`` of
-text, so what a task holds does not grow with the benchmark; each block adds to the spans of those before.
+The benchmark is the stated pattern set.  It is searched in blocks of about ``block_words``
+words, so what a task holds does not grow with the benchmark; each block adds to the spans of those before.
 
 Defined results: null or empty text has no words and no hits; a null doc_id stays null; repeated
 rows give repeated results; null items and items without words never match; equal windows of
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
-from .words import NOT_ALNUM, Words, gram_hash, mix, split_words, text_slices
+from .words import GRAM_MUL, NOT_ALNUM, Words, mix, ragged, split_words, text_slices
 
 WINDOW = 10
 CHUNK = 512
-TABLE_BITS = 18
+#: Words of the benchmark that are searched for in one pass.
+BLOCK_WORDS = 1 << 20
 SPANS = "doc_id long, text string, rest {rest}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -40,24 +42,44 @@ def _block(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mix(h[at] if width == 1 else h[at - 1] * np.uint64(0xA0761D6478BD642F) + h[at])
 
 
+@dataclass
 class PatternClass:
-    """Shift table and suffix buckets of the patterns of ``m`` words."""
-
-    def __init__(self, m: int, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.m, self.width = m, min(2, m)
-        self.shift = np.full(1 << TABLE_BITS, m - self.width + 1, np.uint8 if m < 200 else np.int32)
-        self.patterns = list(patterns.items())
-        self.buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
-        tails, grams = [], []
-        for k, (words, _) in enumerate(self.patterns):
-            h = _hashes(words)
-            ends = np.arange(self.width - 1, m)
-            blocks = _block(h, ends, self.width)
-            np.minimum.at(self.shift, (blocks >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (m - 1 - ends).astype(self.shift.dtype))
-            tails.append(int(blocks[-1]))
-            grams.append(gram_hash(h))
-            self.buckets[tails[-1], grams[-1]].append(k)
-        self.tails = np.unique(np.array(tails, np.uint64))
+    """Shift table and suffix buckets of the patterns of ``m`` words.
+
+    Distinct patterns are sorted by the hashes of their last block and of all their words; ``text``
+    holds the items' words joined by blanks, and ``begin`` and ``end`` a pattern's bytes in it.
+    """
+
+    m: int
+    width: int
+    bits: int
+    shift: np.ndarray
+    tails: np.ndarray
+    grams: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    text: bytes
+    #: Items of pattern k: items[item_at[k] : item_at[k + 1]].
+    items: np.ndarray
+    item_at: np.ndarray
+
+    @classmethod
+    def of(cls, m: int, w: Words, names: np.ndarray) -> PatternClass:
+        """Of the windows of m words of each item; w: the items' words, names: of each item."""
+        width = min(2, m)
+        at, grams = w.grams(m)
+        order = np.lexsort((names[w.doc[at]], grams))
+        at, grams, item = at[order], grams[order], names[w.doc[at]][order]
+        new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.empty(0, np.int64)
+        at, grams, item = at[new], grams[new], item[new]
+        head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(at) else np.empty(0, np.int64)
+        first = at[head]
+        bits = int(np.clip(np.ceil(np.log2(max(len(first) * m, 1))) + 3, 12, 24))
+        shift = np.full(1 << bits, m - width + 1, np.uint8 if m < 200 else np.int32)
+        for end in range(width - 1, m):
+            np.minimum.at(shift, (_block(w.hash, first + end, width) >> np.uint64(64 - bits)).astype(np.int64), shift.dtype.type(m - 1 - end))
+        tails = _block(w.hash, first + m - 1, width)
+        return cls(m, width, bits, shift, np.unique(tails), grams[head], w.start[first], w.end[first + m - 1], w.buf.tobytes(), item, np.append(head, len(at)))
 
     def search(self, w: Words) -> list[tuple[int, int]]:
         """(index of the first word, pattern) for every occurrence."""
@@ -69,47 +91,52 @@ class PatternClass:
         stop = np.minimum(at + CHUNK, first[doc + 1])
         zero = []
         while len(at):
-            step = self.shift[(_block(w.hash, at, self.width) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+            step = self.shift[(_block(w.hash, at, self.width) >> np.uint64(64 - self.bits)).astype(np.int64)]
             zero.append(at[step == 0])
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop = at[live], stop[live]
         ends = np.concatenate(zero) if zero else np.empty(0, np.int64)
         tail = _block(w.hash, ends, self.width)
-        near = self.tails[np.minimum(np.searchsorted(self.tails, tail), len(self.tails) - 1)] == tail
-        ends, tail = ends[near], tail[near]
+        ends = ends[self.tails[np.minimum(np.searchsorted(self.tails, tail), len(self.tails) - 1)] == tail]
         if not len(ends):
             return []
         gram = w.hash[ends - m + 1].copy()
         for j in range(1, m):
-            gram = gram * np.uint64(0xD6E8FEB86659FD93) + w.hash[ends - m + 1 + j]
+            gram = gram * GRAM_MUL + w.hash[ends - m + 1 + j]
+        gram = mix(gram)
+        k = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        same = self.grams[k] == gram
         found = []
-        for end, key in zip(ends.tolist(), zip(tail.tolist(), mix(gram).tolist())):
-            for k in self.buckets.get(key, ()):
-                if all(w.word(end - m + 1 + j) == x for j, x in enumerate(self.patterns[k][0])):
-                    found.append((end - m + 1, k))
+        for at, k in zip((ends[same] - m + 1).tolist(), k[same].tolist()):
+            if b" ".join(w.word(at + j) for j in range(m)) == self.text[self.begin[k] : self.end[k]]:
+                found.append((at, k))
         return found
 
-
-def _hashes(words: tuple[bytes, ...]) -> np.ndarray:
-    text = b" ".join(words)
-    return split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), NOT_ALNUM).hash
-
-
-def item_words(text: str | None) -> list[bytes]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    w = split_words(raw, np.array([0, len(raw)]), NOT_ALNUM, lower=True, hashed=False)
-    return [w.word(i) for i in range(len(w.start))]
+    def items_of(self, k: int) -> list[str]:
+        return self.items[self.item_at[k] : self.item_at[k + 1]].tolist()
 
 
 def build_classes(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[PatternClass]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = item_words(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[i : i + m])].add(item)
-    return [PatternClass(m, patterns) for m, patterns in sorted(by_length.items())]
+    texts = [(text or "").encode() for _, text in items]
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    offsets[-1] = len(raw)
+    w = split_words(raw, offsets, NOT_ALNUM, lower=True, hashed=False)
+    # the words alone, joined by blanks
+    size = w.end - w.start
+    at = np.append(0, np.cumsum(size + 1))
+    text = np.full(at[-1], 0x20, np.uint8)
+    text[ragged(at[:-1], size)] = w.buf[ragged(w.start, size)]
+    names, counts, first = np.array([name for name, _ in items], object), w.counts, w.first
+    out = []
+    for m in sorted(set(np.minimum(counts, window).tolist()) - {0}):
+        own = np.flatnonzero(np.minimum(counts, window) == m)
+        bounds = np.append(at[first[own]], 0)
+        spans = ragged(bounds[:-1], at[first[own + 1]] - bounds[:-1])
+        cut = np.append(0, np.cumsum(at[first[own + 1]] - bounds[:-1]))
+        out.append(PatternClass.of(m, split_words(text[spans], cut, NOT_ALNUM), names[own]))
+    return out
 
 
 def _cover(starts: list[int], ends: list[int]) -> list[dict]:
@@ -143,7 +170,7 @@ def find_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: int
                         starts, ends, found = hits[d]
                         starts.append(at - int(first[d]))
                         ends.append(at - int(first[d]) + c.m)
-                        found |= c.patterns[k][1]
+                        found.update(c.items_of(k))
                 none = ([], [], ())
                 got = [hits[d] if d in hits else none for d in range(len(w.counts))]
                 yield pa.RecordBatch.from_arrays(
@@ -162,20 +189,20 @@ def find_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: int
     return given.mapInArrow(search, SPANS.format(rest=given.schema["rest"].dataType.simpleString()))
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of bounded size, read partition by partition."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     for item, text in rows.where("item_id is not null and text is not null").toLocalIterator():
         block.append((item, text))
-        size += len(text.encode())
-        if size >= block_bytes:
+        size += len(text) // 4 + 1  # a bound on its words but for very short ones
+        if size >= block_words:
             yield block
             block, size = [], 0
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text, rest (the other columns), n_words, spans (hit words as half-open ranges), items (matching item_ids).
 
     One pass over the documents for each block of items; a pass adds to the spans of those before.
@@ -183,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
     found = docs.select("doc_id", "text", F.struct(*rest).alias("rest"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for block in item_blocks(benchmark, block_bytes):
+    for block in item_blocks(benchmark, block_words):
         found = find_spans(found, block, window)
     return found
 

@@ -38,7 +38,7 @@ LEAST_TEXT = 40
 # HTML element names by their part in a page, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template head title iframe object svg math canvas audio video map datalist select option textarea button".split())
-BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".split())
+BOILERPLATE = frozenset("nav header footer aside dialog menu fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -53,6 +53,7 @@ NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsored promo comm
 MATTER = frozenset("related recommended legal search side social alert notice notices copyright skip login share sharing".split())
 # Elements that a start tag closes when they are open, up to the nearest of the scope elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = ("h1", "h2", "h3")
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SPACES = re.compile(r"\s+")
 
@@ -63,6 +64,7 @@ class Line:
     tags: int = 0
     linked: int = 0
     skipped: bool = False
+    heading: bool = False
     #: 2 inside an article, 1 inside the main part, else 0.
     mark: int = 0
     #: Number of that article or main part in the page.
@@ -71,10 +73,10 @@ class Line:
     named: tuple[int, ...] = ()
 
 
-def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool:
     """By its element, role or visibility; an article also by its class."""
     if tag in BOILERPLATE:
-        return not (tag == "header" and in_article)
+        return not (tag == "header" and in_main)
     if "hidden" in attrs or (attrs.get("role") or "").strip().lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
     return tag == "article" and not NO_ARTICLE.isdisjoint(_class_words(attrs))
@@ -86,7 +88,9 @@ def _class_words(attrs: dict[str, str | None]) -> set[str]:
 
 
 def _named_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> set[str]:
-    """The words of class and id that name an element as boilerplate."""
+    """The words of class and id that name an element as boilerplate; a form is one by its element, unless it wraps the page."""
+    if tag == "form":
+        return {tag}
     if tag in ("html", "body", "main", "h1", "article") or not ("class" in attrs or "id" in attrs):
         return set()
     return _class_words(attrs) & (CLASS_WORDS - {"header"} if in_article else CLASS_WORDS)
@@ -104,6 +108,7 @@ class PageLines(HTMLParser):
         self.boiler = self.links = self.silent = 0
         self.marks = [0, 0, 0]
         self.sections = [0, 0, 0]
+        self.names: Counter[str] = Counter()  # of the open elements
 
     def _break(self) -> None:
         if self.lines[-1].parts:
@@ -111,6 +116,7 @@ class PageLines(HTMLParser):
 
     def _push(self, tag: str, boiler: bool, mark: int, named: bool) -> None:
         self.open.append((tag, boiler, mark, named))
+        self.names[tag] += 1
         self.boiler += boiler
         self.sections[mark] += not self.marks[mark]  # elements inside one of their kind belong to it
         self.marks[mark] += 1
@@ -119,6 +125,7 @@ class PageLines(HTMLParser):
 
     def _pop(self) -> None:
         tag, boiler, mark, named = self.open.pop()
+        self.names[tag] -= 1
         if named:
             self.named.pop()
         self.boiler -= boiler
@@ -128,6 +135,8 @@ class PageLines(HTMLParser):
 
     def _close(self, names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
         """Close the nearest open element of ``names``, if it stands above every element of ``scope``."""
+        if not any(self.names[n] for n in names):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in names:
                 while len(self.open) > k:
@@ -147,7 +156,7 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         own = dict(attrs)
-        boiler = _is_boilerplate(tag, own, self.marks[2] > 0)
+        boiler = _is_boilerplate(tag, own, self.marks[1] + self.marks[2] > 0)
         role = (own.get("role") or "").strip().lower()
         mark = 0
         if not boiler and not self.boiler:
@@ -179,6 +188,7 @@ class PageLines(HTMLParser):
             if data.isspace():
                 return
             line.skipped, line.mark = self.boiler > 0, 2 if self.marks[2] else 1 if self.marks[1] else 0
+            line.heading = any(self.names[h] for h in HEADINGS)
             line.section, line.named = self.sections[line.mark], tuple(self.named)
         line.parts.append(data)
         line.linked += len(data) * (self.links > 0)
@@ -253,7 +263,10 @@ def extract(html: str | None) -> str:
         own = {lines[k][0].section for k in content.tolist() if marks[k] == best}
         lines = [(x, text) for x, text in lines if x.mark == best and x.section in own]
     else:
-        lines = lines[content[0] : content[-1] + 1]
+        begin = int(content[0])
+        while begin and lines[begin - 1][0].heading:  # the headings of what follows
+            begin -= 1
+        lines = lines[begin : content[-1] + 1]
     return "\n".join(text for _, text in lines)
 
 

@@ -162,17 +162,30 @@ def has_letter() -> Column:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> Model:
     """Train on at most ``max_rows`` labelled rows, about ``per_lang`` of each language."""
-    labelled = docs.where("lang is not null and text is not null").withColumn("__h", F.abs(F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_000_007))
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.abs(F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_000_007).alias("h"))
     counts = dict(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
     if not counts:
         return Model([])
     per_lang = min(per_lang, max_rows // len(counts))
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_000_007 * min(1.0, per_lang / n)))])
-    rows = labelled.where(F.col("__h") <= bound[F.col("lang")]).where(has_letter()).select("lang", "text", "__h").limit(max_rows * 2).collect()
-    rows = sorted(rows, key=lambda r: (r["__h"], r["text"]))[:max_rows]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole texts as sparse vectors, so what goes to the driver is bounded by their length."""
+        for batch in batches:
+            x = vectors([(t or "").encode() for t in batch.column(1).to_pylist()])
+            at = [np.flatnonzero(row).astype(np.uint16) for row in x]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([k.tobytes() for k in at], pa.binary()), pa.array([row[k].tobytes() for row, k in zip(x, at)], pa.binary())], names=["lang", "h", "at", "x"]
+            )
+
+    bounded_batches(docs.sparkSession)
+    sample = labelled.where(F.col("h") <= bound[F.col("lang")]).where(has_letter()).select("lang", "text", "h")
+    rows = sample.mapInArrow(features, "lang string, h long, at binary, x binary").orderBy("h", "lang", "at", "x").limit(max_rows).collect()
     langs = sorted({r.lang for r in rows})
     lang = np.array([r.lang for r in rows], object)
-    x = vectors([r.text.encode() for r in rows])
+    x = np.zeros((len(rows), ORDERS << BITS), np.float32)
+    for row, r in zip(x, rows):
+        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.x, np.float32)
     family = np.array([FAMILY.get(v, v) for v in lang], object)
     families = sorted(set(family))
     model, weights = Model(langs, families), []
@@ -185,32 +198,33 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max
     return model
 
 
-PREDICTED = "lang_pred string, score double"
-
-
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, lang_pred and score."""
+def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """text, rest (a struct of all other columns, so no name can clash), lang_pred and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
-    text = "text" if "text" in keep else "__text"  # a text that is kept anyway goes over once
-    extra = [] if text in keep else [F.col("text").alias(text)]
-    at = len(keep) + len(extra)
-    own = docs.select(*keep, *extra, has_letter().alias("__letters"))
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*keep).dtypes)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    own = docs.select("text", F.struct(*rest).alias("rest"), has_letter().alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, buf, offsets in text_slices(batch, text, 1 << 20):
+            for rows, buf, offsets in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 lang, score = model.predict(model.scores(buf, offsets))
-                known = part.column(at)
+                known = part.column(2)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(len(keep))), pc.if_else(known, pa.array(lang, pa.string()), UNDETERMINED), pc.if_else(known, pa.array(score), 0.0)],
-                    names=[*keep, "lang_pred", "score"],
+                    [part.column(0), part.column(1), pc.if_else(known, pa.array(lang, pa.string()), UNDETERMINED), pc.if_else(known, pa.array(score), 0.0)],
+                    names=["text", "rest", "lang_pred", "score"],
                 )
 
-    return own.mapInArrow(run, f"{fields}, {PREDICTED}")
+    return own.mapInArrow(run, f"text string, rest {own.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row, lang_pred and score; kept columns of these two names give way."""
+    found = predict_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]), model)
+    own = [F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in keep if c not in ("lang_pred", "score")]
+    return found.select(*own, "lang_pred", "score")
 
 
 def held_out() -> Column:

@@ -11,13 +11,13 @@ targets come as DataFrames (value, weight) for each margin.
 Defined results: a null source, language or topic is the value ''; null text has no tokens; rows
 with one doc_id share a decision, a null doc_id is hashed as ''; cells without tokens and values
 without target have probability 0; an empty table gives no rows; columns of the input are kept
-(those named ``mix_...`` give way to the results).
+(those named ``mix_...`` give way to the results); targets of values that no cell has are left
+out, and where targets contradict each other ``residuals`` shows what is missed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -45,11 +45,14 @@ def n_tokens(text: Column) -> Column:
 
 
 def with_margins(docs: DataFrame) -> DataFrame:
+    """rest (a struct of the input's columns but those named mix_..., so no name can clash), the margins, tokens and a number to sample by."""
     return docs.select(
-        *[F.col(c) for c in docs.columns if not c.startswith(("__mix_", "mix_"))],
-        F.coalesce("source", F.lit("")).alias("__mix_source"),
-        F.coalesce("lang", F.lit("")).alias("__mix_lang"),
-        topic(F.coalesce("text", F.lit(""))).alias("__mix_topic"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]).alias("rest"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        topic(F.coalesce("text", F.lit(""))).alias("topic"),
+        n_tokens(F.col("text")).alias("tokens"),
+        uniform(F.col("doc_id")).alias("u"),
     )
 
 
@@ -68,9 +71,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers:
     tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
     for r in range(rounds):
         for m in MARGINS:
-            have = F.sum("raked").over(W.partitionBy(m))
+            # sums are aggregated before they are joined back, so a value that holds most cells is no hot key
+            have = cells.groupBy(m).agg(F.sum("raked").alias("have"))
             want = F.col(f"t_{m}") / F.lit(sums[m]) * F.lit(tokens)
-            cells = cells.withColumn("raked", F.when(have > 0, F.col("raked") * want / have).otherwise(0.0))
+            cells = cells.join(have, m).withColumn("raked", F.when(F.col("have") > 0, F.col("raked") * want / F.col("have")).otherwise(0.0)).drop("have")
         if r % 2 == 1:
             cells = materialize(cells, "raked")
     ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
@@ -78,6 +82,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers:
     return cells.withColumn("p", ratio / F.lit(float(top)))
 
 
+def residuals(cells: DataFrame) -> dict[str, float]:
+    """For each margin, the largest share of all tokens by which a raked value misses its target (cells of ``rake``)."""
+    out, tokens = {}, float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
+    for m in MARGINS:
+        values = cells.groupBy(m).agg(F.first(f"t_{m}").alias("t"), F.sum("raked").alias("have"))
+        total = values.agg(F.sum("t").alias("s")).first()["s"] or 1.0
+        worst = values.agg(F.max(F.abs(F.col("have") - F.col("t") / F.lit(total) * F.lit(tokens))).alias("w")).first()["w"] or 0.0
+        out[m] = worst / tokens if tokens else 0.0
+    return out
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from doc_id."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -85,17 +100,17 @@ def uniform(doc_id: Column) -> Column:
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """docs with ``mix_topic``, ``mix_tokens``, ``mix_p`` and ``mix_keep``."""
-    own = with_margins(docs).withColumn("__mix_tokens", n_tokens(F.col("text")))
-    cells = own.groupBy(*[F.col(f"__mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("__mix_tokens").alias("tokens"))
-    raked = materialize(rake(cells, targets, powers, rounds).select(*[F.col(m).alias(f"__mix_{m}") for m in MARGINS], F.col("p").alias("mix_p")), "shares")
+    own = with_margins(docs)
+    cells = own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    raked = materialize(rake(cells, targets, powers, rounds).select(*MARGINS, F.col("p").alias("mix_p")), "shares")
     if raked.count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
-    return own.join(raked, [f"__mix_{m}" for m in MARGINS]).select(
-        *[own[c] for c in docs.columns if not c.startswith("mix_")],
-        F.col("__mix_topic").alias("mix_topic"),
-        F.col("__mix_tokens").alias("mix_tokens"),
+    return own.join(raked, list(MARGINS)).select(
+        *[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if not c.startswith("mix_")],
+        F.col("topic").alias("mix_topic"),
+        F.col("tokens").alias("mix_tokens"),
         "mix_p",
-        (uniform(own["doc_id"]) < F.col("mix_p")).alias("mix_keep"),
+        (F.col("u") < F.col("mix_p")).alias("mix_keep"),
     )
 
 

@@ -89,14 +89,6 @@ class Words:
         return at, mix(g[at])
 
 
-def gram_hash(hashes: np.ndarray) -> int:
-    """The value ``Words.grams`` gives a window with these word hashes."""
-    g = hashes[:1].copy()
-    for h in hashes[1:]:
-        g = g * GRAM_MUL + h
-    return int(mix(g)[0])
-
-
 def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
     """Words of the documents ``buf[offsets[i]:offsets[i+1]]``; runs of bytes not in ``sep``."""
     if lower:

@@ -17,7 +17,7 @@ def test_against_brute_force(spark, sf_dir):
     data = spark.createDataFrame(d, "doc_id long, text string")
     assert rows(m.digest(m.decontaminate(data, items))) == want
     assert any(w[-1] for w in want)
-    assert rows(m.digest(m.decontaminate(data, items, block_bytes=2000))) == want
+    assert rows(m.digest(m.decontaminate(data, items, block_words=400))) == want
 
 
 def test_edges(spark):

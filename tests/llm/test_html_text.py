@@ -79,3 +79,25 @@ def test_layout_wrappers():
     for block in ("related-work", "legal", "search-terms"):
         got = m.extract(f"<body><article>{paras}<div class='{block}'><p>{para(6)}</p></div></article></body>")
         assert got == f"{want}\n{para(6)}"
+
+
+def test_wrappers_by_form_class_and_header():
+    t = "The court held that the appeal was allowed and the order below was set aside in full. " * 3
+    body = f"<h1>Opinion</h1><p>{t}</p><p>{t}</p>"
+    want = f"Opinion\n{t.strip()}\n{t.strip()}"
+    for page in (
+        f"<form id='aspnet'><nav>Home</nav><div>{body}</div></form>",
+        f"<div class='legal-opinion'><article>{body}</article></div><div class='ad'>buy</div>",
+        f"<article><div class='legal-opinion'>{body}</div></article><nav>a b</nav>",
+        f"<main><header><h1>Opinion</h1></header><p>{t}</p><p>{t}</p></main>",
+        f"<article>{body}<form>Subscribe now <input></form></article>",
+    ):
+        assert m.extract(f"<html><body>{page}</body></html>") == want
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    m.extract("<div>" * 30_000 + "<p>a" + "</i>" * 100_000)
+    assert time.process_time() - began < 10

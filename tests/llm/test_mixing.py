@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import mixing as m
 
@@ -35,3 +36,19 @@ def test_edges(spark):
     assert {r.mix_tokens for r in got} == {0, 3, 50000}
     assert m.mix(df.limit(0)).collect() == []
     assert {r.mix_keep for r in m.mix(df.where("doc_id = 2")).collect()} == {False}
+
+
+def test_default_targets_are_met_and_names_may_clash(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cells = m.with_margins(docs).groupBy(*m.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    raked = m.rake(cells)
+    assert max(m.residuals(raked).values()) < 1e-3
+    missing = spark.createDataFrame([("no such source", 1.0), *[(r.source, 1.0) for r in cells.select("source").distinct().collect()]], "value string, weight double")
+    assert m.residuals(m.rake(cells, {"source": missing}))["source"] < 1e-3  # the values that there are share the tokens
+    none = spark.createDataFrame([(lang, float(lang == "en")) for lang in ("en", "de", "fr", "es", "")], "value string, weight double")
+    source = cells.where("lang <> 'en'").select("source").distinct().crossJoin(spark.range(1)).selectExpr("source as value", "1.0D as weight")
+    assert set(m.residuals(m.rake(cells, {"lang": none, "source": source}))) == set(m.MARGINS)
+    odd = docs.limit(20).withColumns({"__mix_x": F.lit(1), "__mix_topic": F.lit("mine"), "topic": F.lit("t"), "rest": F.lit(0), "u": F.lit(9), "tokens": F.lit("z"), "mix_p": F.lit(5)})
+    got = m.mix(odd)
+    assert [c for c in got.columns if not c.startswith("mix_")] == [c for c in odd.columns if c != "mix_p"]
+    assert {(r["__mix_x"], r["__mix_topic"], r["topic"], r["u"], r["tokens"]) for r in got.collect()} == {(1, "mine", "t", 9, "z")}

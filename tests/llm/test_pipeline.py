@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -26,7 +27,10 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         got = sorted((tuple(r) for r in out.collect()), key=repr)
         if name == "language_id":
             rows = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
-            assert {r[0] for r in out.collect()} == {r[0] for r in rows} and out.columns == COLUMNS
+            assert out.columns == COLUMNS
+            lang = {(r.doc_id, r.text): r.lang for r in out.collect()}
+            assert None not in lang.values() and all(r[2] in (None, lang[r[:2]]) for r in rows) and len(lang) == len(rows)
+            rows = [(*r[:2], lang[r[:2]], *r[3:]) for r in rows]
             docs = out
             continue
         if name == "near_duplicates":
@@ -59,3 +63,14 @@ def test_empty(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_columns_that_clash(spark, sf_dir):
+    names = ["score", "lang_pred", "__mix_topic", "rest", "spans", "items", "n_words", "topic"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == [*COLUMNS, *names]
+        assert {tuple(r[c] for c in names) for r in docs.collect()} == {("x",) * len(names)}

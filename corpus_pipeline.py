@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages; each stage's rows are written as Parquet and read by the next.
 
-Defined results: rows without a letter in their text go in the first stage.  Of each group of near
+Defined results: rows without a letter in their text go in the first stage, and a null lang becomes
+the predicted one.  Of each group of near
 duplicates the row with the least doc_id stays; rows without doc_id belong to no group and stay.
 Rows that repeat doc_id and text are one document.  Columns keep their values; the last stage
 returns what the token files hold.  An empty table gives an empty result.
@@ -22,9 +23,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told."""
-    predicted = langid.predict(docs, langid.fit(docs), docs.columns)
-    return predicted.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    """Drops documents without a letter; the others get the predicted language where none is given."""
+    found = langid.predict_rows(docs, langid.fit(docs)).where(langid.has_letter())
+    known = F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred"))
+    own = {"text": F.col("text"), "lang": F.coalesce("rest.lang", known)}
+    return found.select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

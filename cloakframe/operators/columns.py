@@ -64,12 +64,12 @@ def desensitize_columns(segments: DataFrame, rules: DataFrame, language: str = "
     """(segments, mappings, codebook): whole cells of the ruled columns, header and empty cells untouched.
 
     rules: sheet_index, col, type, kind, keep_prefix, keep_suffix, style, reversible.  The codebook
-    has the changed values of reversible columns; a mask is never reversible.
+    has the changed values of reversible columns; a mask is never reversible.  A value is made by the
+    rule of the first cell (sheet, column, row) with its text and type, and holds for the others too.
     """
     ruled = segments.where("row > 0 and text <> ''").join(rules, ["sheet_index", "col"])
-    strategies = rules.select("type", "kind", "keep_prefix", "keep_suffix", "style", F.lit(True).alias("consistent")).dropDuplicates(["type"])
-    cells = ruled.select("text", "type", F.struct("file_id", "sheet_index", "col", "row").alias("place"))
-    values, _ = entity_values(cells, strategies, language, prior, aliases, None, seed)
+    cells = ruled.select("text", "type", "kind", "keep_prefix", "keep_suffix", "style", F.struct("file_id", "sheet_index", "col", "row").alias("place"))
+    values, _ = entity_values(cells, None, language, prior, aliases, None, seed)
     new = ruled.join(values.select("text", "type", "replaced", "strategy"), ["text", "type"])
     changed = new.where("replaced <> text")
     out = segments.join(new.select("file_id", "sheet_index", "row", "col", "replaced"), ["file_id", "sheet_index", "row", "col"], "left").withColumn("text", F.coalesce("replaced", "text")).drop("replaced")
@@ -77,3 +77,32 @@ def desensitize_columns(segments: DataFrame, rules: DataFrame, language: str = "
     header = segments.where("row = 0").select("file_id", "sheet_index", "col", F.col("text").alias("header"))
     book = changed.where((F.col("kind") != MASK) & F.col("reversible")).join(header, ["file_id", "sheet_index", "col"]).select("file_id", "header", "type", F.col("kind").alias("strategy"), F.col("text").alias("original"), "replaced").distinct()
     return out, mappings, book
+
+
+PLACE = ["file_id", "sheet_index", "row", "col"]
+
+
+def merge_column(segments: DataFrame, redone: DataFrame, columns: DataFrame) -> DataFrame:
+    """Segments with the cells of the given columns (file_id, sheet_index, col) taken from a second run."""
+    new = redone.join(columns, ["file_id", "sheet_index", "col"], "left_semi").where("row > 0").select(*PLACE, F.col("text").alias("__new"), F.lit(True).alias("__redone"))
+    return segments.join(new, PLACE, "left").withColumn("text", F.when(F.col("__redone"), F.col("__new")).otherwise(F.col("text"))).drop("__new", "__redone")
+
+
+def merge_mappings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row for each (original_text, replaced_text): that of the earlier run, with the occurrences of both."""
+    names = ["original_text", "type", "replaced_text", "strategy"]
+    both = old.select(*names, "occurrences", F.lit(0).alias("run")).unionByName(new.select(*names, "occurrences", F.lit(1).alias("run")))
+    first = F.min_by(F.struct("type", "strategy"), F.struct("run", "type", "strategy")).alias("x")
+    return both.groupBy("original_text", "replaced_text").agg(first, F.sum("occurrences").alias("occurrences")).select("original_text", "x.type", "replaced_text", "x.strategy", "occurrences")
+
+
+def undo_column(segments: DataFrame, original: DataFrame, mappings: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, mappings) with the given columns as they were.
+
+    Mappings that only those columns used go; the others count the cells that still hold them.
+    """
+    back = merge_column(segments, original, columns)
+    before = original.select(*PLACE, F.col("text").alias("original_text"))
+    cells = back.where("row > 0").select(*PLACE, F.col("text").alias("replaced_text")).join(before, PLACE).where("original_text <> replaced_text")
+    left = cells.groupBy("original_text", "replaced_text").agg(F.count(F.lit(1)).alias("occurrences"))
+    return back, mappings.drop("occurrences").join(left, ["original_text", "replaced_text"])

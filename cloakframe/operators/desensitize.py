@@ -24,7 +24,7 @@ MAPPING = "original_text string, type string, replaced_text string, strategy str
 
 class Result(NamedTuple):
     segments: DataFrame
-    #: original_text, type, replaced_text, strategy, occurrences
+    #: original_text, type, replaced_text, strategy, occurrences, place (of the first)
     mappings: DataFrame
     #: type, n; the row whose type is null is the total
     summary: DataFrame
@@ -63,12 +63,13 @@ def number_in_bucket(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
     return numbered.withColumn("k", (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__part")
 
 
-def entity_values(items: DataFrame, strategies: DataFrame, language: str, prior: DataFrame | None = None, aliases: DataFrame | None = None, counters: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def entity_values(items: DataFrame, strategies: DataFrame | None, language: str, prior: DataFrame | None = None, aliases: DataFrame | None = None, counters: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(text, type, replaced, strategy) for each entity text, and the counters.
 
     items: text, type and place (``place``, sortable).  prior: earlier mappings, which win.
     aliases: member, primary, type.  Types that are not consistent draw a new number at each
-    occurrence, and the last one counts.
+    occurrence, and the last one counts.  Without strategies the items carry their own (kind,
+    keep_prefix, keep_suffix, style), and that of an entity's first place makes its value.
     """
     spark = items.sparkSession
     aliases = aliases if aliases is not None else spark.createDataFrame([], "member string, primary string, type string")
@@ -76,7 +77,11 @@ def entity_values(items: DataFrame, strategies: DataFrame, language: str, prior:
     counters = counters if counters is not None else spark.createDataFrame([], "bucket string, n long")
     member = aliases.select(F.col("member").alias("text"), "type", "primary")
     first = items.groupBy("text", "type").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.count(F.lit(1)).alias("seen"))
-    texts = with_strategy(first.join(member, ["text", "type"], "left").withColumn("entity", F.coalesce("primary", "text")), strategies)
+    if strategies is None:
+        own_rule = items.groupBy("text", "type").agg(F.min_by(F.struct("kind", "keep_prefix", "keep_suffix", "style"), "place").alias("rule")).select("text", "type", "rule.*", F.lit(True).alias("consistent"))
+        first = first.join(own_rule, ["text", "type"])
+    texts = first.join(member, ["text", "type"], "left").withColumn("entity", F.coalesce("primary", "text"))
+    texts = texts if strategies is None else with_strategy(texts, strategies)
     known = prior.select(F.col("original_text").alias("__t"), F.col("type").alias("__y"), "replaced_text", F.col("strategy").alias("__s"))
     own = texts.join(known, (F.col("text") == F.col("__t")) & (F.col("type") == F.col("__y")), "left").drop("__t", "__y").withColumnsRenamed({"replaced_text": "own", "__s": "own_kind"})
     own = own.join(known, (F.col("entity") == F.col("__t")) & (F.col("type") == F.col("__y")), "left").drop("__t", "__y").withColumnsRenamed({"replaced_text": "ofgroup", "__s": "ofgroup_kind"})
@@ -85,7 +90,7 @@ def entity_values(items: DataFrame, strategies: DataFrame, language: str, prior:
     # one event for each value to make: the entity's first text, or each occurrence if not consistent
     fresh = own.where("reused is null")
     steady = fresh.where("consistent").groupBy("entity", "type").agg(F.min_by(F.struct("text", "place", "kind", "keep_prefix", "keep_suffix", "style"), "place").alias("x")).select("entity", "type", "x.*")
-    loose = items.join(fresh.where("not consistent").select("text", "type", "entity", "kind", "keep_prefix", "keep_suffix", "style"), ["text", "type"]).select("entity", "type", "text", "place", "kind", "keep_prefix", "keep_suffix", "style")
+    loose = items.select("text", "type", "place").join(fresh.where("not consistent").select("text", "type", "entity", "kind", "keep_prefix", "keep_suffix", "style"), ["text", "type"]).select("entity", "type", "text", "place", "kind", "keep_prefix", "keep_suffix", "style")
     events = steady.unionByName(loose).withColumn("bucket", F.when(F.col("kind") == REPLACE, fakes.bucket(F.col("text"), F.col("type"), F.col("style"))))
     counted = number_in_bucket(events.where("bucket is not null"), "bucket", ["place"]).join(counters.withColumnRenamed("n", "used"), "bucket", "left").withColumn("k", F.col("k") + F.coalesce("used", F.lit(0))).drop("used")
     every = counted.unionByName(events.where("bucket is null").withColumn("k", F.lit(0).cast("long")))
@@ -103,6 +108,17 @@ def entity_values(items: DataFrame, strategies: DataFrame, language: str, prior:
     return out, used.unionByName(counters).groupBy("bucket").agg(F.max("n").alias("n"))
 
 
+def primaries(members: DataFrame, by: str = "group") -> DataFrame:
+    """(group, primary): the longest member of each alias group, the later one of equals; members: group, member, pos."""
+    return members.groupBy(by).agg(F.max_by("member", F.struct(F.char_length("member"), "pos")).alias("primary"))
+
+
+def top_strategy(mappings: DataFrame) -> DataFrame:
+    """One row: the strategy with most occurrences (of equals the first by name); Mask if there are no mappings."""
+    n = mappings.groupBy("strategy").agg(F.sum("occurrences").alias("n"))
+    return n.agg(F.coalesce(F.min_by("strategy", F.struct(-F.col("n"), "strategy")), F.lit(MASK)).alias("strategy"))
+
+
 def with_place(items: DataFrame) -> DataFrame:
     return items.withColumn("place", F.struct(*KEYS, "ord"))
 
@@ -121,7 +137,7 @@ def summary(items: DataFrame) -> DataFrame:
 
 def mapping_table(items: DataFrame) -> DataFrame:
     """Mappings with their occurrences from items with ``replaced`` and ``strategy``."""
-    return items.where("replaced is not null").groupBy(F.col("text").alias("original_text"), "type").agg(F.min_by("replaced", "place").alias("replaced_text"), F.min_by("strategy", "place").alias("strategy"), F.count(F.lit(1)).alias("occurrences"))
+    return items.where("replaced is not null").groupBy(F.col("text").alias("original_text"), "type").agg(F.min_by("replaced", "place").alias("replaced_text"), F.min_by("strategy", "place").alias("strategy"), F.count(F.lit(1)).alias("occurrences"), F.min("place").alias("place"))
 
 
 def desensitize(segments: DataFrame, items: DataFrame, strategies: DataFrame | None = None, language: str = "en", prior: DataFrame | None = None, aliases: DataFrame | None = None, counters: DataFrame | None = None, seed: int = 42) -> Result:

@@ -21,7 +21,7 @@ def reverse_mappings(mappings: DataFrame) -> DataFrame:
     mappings: original_text, replaced_text, type, strategy, and their record's number and place in it.
     """
     rows = mappings.where("strategy = 'Replace' and replaced_text <> ''")
-    return rows.groupBy(F.col("replaced_text").alias("pattern")).agg(F.min_by("original_text", F.struct("rec", "idx")).alias("original"), F.min_by("type", F.struct("rec", "idx")).alias("type"))
+    return rows.groupBy(F.col("replaced_text").alias("pattern")).agg(F.min_by("original_text", F.struct("rec", "idx")).alias("original"), F.min_by("type", F.struct("rec", "idx")).alias("type"), F.min(F.struct("rec", "idx")).alias("at")).select("pattern", "original", "type", "at.*")
 
 
 def find_patterns(segments: DataFrame, patterns: DataFrame, normalized: bool = False) -> DataFrame:
@@ -47,7 +47,10 @@ def find_patterns(segments: DataFrame, patterns: DataFrame, normalized: bool = F
     given = segments.select(*KEYS, text.alias("__find"))
     found, tree, size = None, ahocorasick.Automaton(), 0
     column = normalize_width(F.col("pattern")) if normalized else F.col("pattern")
-    rows = patterns.select("pattern", "original", column.alias("look")).toLocalIterator()
+    # of patterns with one form the first counts: in fuzzy search two may look alike
+    order = F.struct(*[c for c in ("rec", "idx") if c in patterns.columns], "pattern", "original")
+    alike = patterns.select(column.alias("look"), order.alias("at"), "pattern", "original").groupBy("look").agg(F.min_by(F.struct("pattern", "original"), "at").alias("x"))
+    rows = alike.select("look", "x.pattern", "x.original").toLocalIterator()
 
     def search(tree) -> DataFrame:
         tree.make_automaton()

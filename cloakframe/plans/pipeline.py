@@ -62,3 +62,9 @@ def file_report(segments: DataFrame, items: DataFrame) -> DataFrame:
     """Items and segments of each file of a batch."""
     n = items.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_items"))
     return segments.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_segments")).join(n, "file_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+
+
+def batch_report(files: DataFrame, by: str = "batch") -> DataFrame:
+    """Files (batch, status) of each batch that are done, failed and open, and their number."""
+    s = F.col("status")
+    return files.groupBy(by).agg(F.count_if(s == "done").alias("done"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "open").alias("open"), F.count(F.lit(1)).alias("total"))

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fakes, rewrite, spans
 from cloakframe.model import DEFAULT_ENABLED, DEFAULT_STRATEGIES, FAKE, MASK, MOU, ORDINAL, REPLACE
-from cloakframe.operators import columns, desensitize, detect, dictionary, entities, layout, merge, restore, views
+from cloakframe.operators import columns, desensitize, detect, dictionary, edits, entities, layout, merge, restore, views
 from cloakframe.operators.rules import COMMON, EN, ZH, rules_for
+from cloakframe.plans import pipeline
 from cloakframe.plans import sqltext as sql
+from cloakframe.plans.workspace import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,7 +369,8 @@ def template_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select_primary", "SELECT c_mktsegment AS grp, arg_max(c_name, (length(c_name) * 1000000 + c_custkey)) AS primary_name FROM customer GROUP BY 1")
 def select_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.max_by("c_name", F.struct(F.char_length("c_name"), "c_custkey")).alias("primary_name"))
+    members = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_name").alias("member"), F.col("c_custkey").alias("pos"))
+    return desensitize.primaries(members, "grp").withColumnRenamed("primary", "primary_name")
 
 
 # ---- columns --------------------------------------------------------------------------------
@@ -480,14 +482,13 @@ def reverse_mapping_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("history_top", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 5")
 def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest records of each workspace; the cap is the feature."""
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 5").select("o_custkey", "o_orderkey")
+    return newest(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], ["o_custkey"], 5).select("o_custkey", "o_orderkey")
 
 
-@query("batch_report", "SELECT o_orderpriority AS batch, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) AS total FROM orders GROUP BY 1")
+@query("batch_report", "SELECT o_orderpriority AS batch, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) AS total FROM orders GROUP BY 1")
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(F.count_if(s == "F").alias("done"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("partial"), F.count(F.lit(1)).alias("total"))
+    files = table(spark, sf_dir, "orders").selectExpr("o_orderpriority batch", "case o_orderstatus when 'F' then 'done' when 'P' then 'failed' else 'open' end status")
+    return pipeline.batch_report(files)
 
 
 @query("text_lines", "SELECT doc_id, (i - 1)::INT AS row, line AS text FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i, len(parts) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE NOT (i = n AND line = '')")
@@ -579,3 +580,143 @@ def redact_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = layout.page_lines(_objects(spark, sf_dir))
     items = lines.select("file_id", "page", "line", F.lit(3).alias("start"), F.lit(9).alias("end"))
     return layout.redact_targets(items, lines).select("file_id", "page", F.col("left").alias("left_x"), F.col("top").alias("top_y"))
+
+
+@query("redact_preview", f"WITH {_LINES} SELECT file_id, page, round(l / 600, 9) AS left_x, round(1 - t / 800, 9) AS top_y, round(r / 600, 9) AS right_x, round(1 - b / 800, 9) AS bottom_y FROM lines UNION ALL SELECT 'manual', 0, 0.1, 0.2, 0.3, 0.4")
+def redact_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.page_lines(_objects(spark, sf_dir))
+    targets = layout.redact_targets(lines.select("file_id", "page", "line", F.lit(0).alias("start"), F.lit(10_000).alias("end")), lines)
+    pages = lines.select("file_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    manual = spark.createDataFrame([("manual", 0, 0.1, 0.2, 0.3, 0.4)], "file_id string, page int, left double, top double, right double, bottom double")
+    shown = layout.redact_preview(targets, pages, manual)
+    return shown.select("file_id", "page", *[F.round(c, 9).alias(n) for c, n in (("left", "left_x"), ("top", "top_y"), ("right", "right_x"), ("bottom", "bottom_y"))])
+
+
+# ---- edits, columns of one type, reports -----------------------------------------------------
+
+_TWO = "c AS (SELECT c_custkey, lpad((13900000000 + c_custkey)::VARCHAR, 11, '0') AS a, lpad((13800000000 + c_custkey // 2)::VARCHAR, 11, '0') AS b FROM customer)"
+
+
+@query("column_mode_two_rules", f"WITH {_TWO} SELECT c_custkey + 1 AS row, {sql.mask('a', '3', '4')} AS first_col, CASE WHEN b IN (SELECT a FROM c) THEN {sql.mask('b', '3', '4')} ELSE {sql.mask('b', '0', '0')} END AS second_col FROM c")
+def column_mode_two_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of one type, each with its own rule."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey + 1 as row", "cast(13900000000 + c_custkey as string) as a", "cast(13800000000 + c_custkey div 2 as string) as b")
+    cells = detect.segments_of_table(c, F.col("row"), "sheet", ["a", "b"])
+    rules = spark.createDataFrame([(0, 0, "Phone", MASK, 3, 4, None, False), (0, 1, "Phone", MASK, 0, 0, None, False)], RULE_SCHEMA)
+    out, _, _ = columns.desensitize_columns(cells, rules)
+    wide = out.where("row > 0").groupBy("row").agg(*[F.max(F.when(F.col("col") == k, F.col("text"))).alias(n) for k, n in enumerate(["first_col", "second_col"])])
+    return wide.select(F.col("row").cast("long").alias("row"), "first_col", "second_col")
+
+
+def _order_mappings(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(where).selectExpr("concat('O', o_orderkey % 500) original_text", "'Phone' type", "concat('R', o_orderkey % 250) replaced_text", "'Mask' strategy").groupBy("original_text", "type", "replaced_text", "strategy").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+@query("column_merge_mappings", "SELECT 'O' || (o_orderkey % 500) AS original_text, 'R' || (o_orderkey % 250) AS replaced_text, count(*) AS occurrences FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL")
+def column_merge_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = columns.merge_mappings(_order_mappings(spark, sf_dir, "o_orderstatus = 'F'"), _order_mappings(spark, sf_dir, "o_orderstatus = 'O'"))
+    return merged.select("original_text", "replaced_text", "occurrences")
+
+
+_SEGMENT_MASK = sql.mask("c_mktsegment", "1", "1")
+
+
+@query("column_undo", f"SELECT 'text' AS kind, c_custkey + 1 AS n, c_name AS original_text, {_SEGMENT_MASK} AS replaced_text FROM customer UNION ALL SELECT 'mapping', count(*), c_mktsegment, {_SEGMENT_MASK} FROM customer GROUP BY ALL")
+def column_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and segments are masked, then the names are taken back: only the segments' mappings stay."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey + 1 as row", "c_name", "c_mktsegment")
+    cells = detect.segments_of_table(c, F.col("row"), "sheet", ["c_name", "c_mktsegment"])
+    rules = spark.createDataFrame([(0, 0, "PersonName", MASK, 1, 1, None, False), (0, 1, "OrgName", MASK, 1, 1, None, False)], RULE_SCHEMA)
+    done, mappings, _ = columns.desensitize_columns(cells, rules)
+    back, left = columns.undo_column(done, cells, mappings, spark.createDataFrame([("sheet", 0, 0)], "file_id string, sheet_index int, col int"))
+    texts = back.where("row > 0").groupBy("row").agg(*[F.max(F.when(F.col("col") == k, F.col("text"))).alias(n) for k, n in enumerate(["original_text", "replaced_text"])])
+    return texts.select(F.lit("text").alias("kind"), F.col("row").cast("long").alias("n"), "original_text", "replaced_text").unionByName(left.select(F.lit("mapping").alias("kind"), F.col("occurrences").alias("n"), "original_text", "replaced_text"))
+
+
+@query("top_strategy", "SELECT arg_min(o_orderpriority, (-n, o_orderpriority)) AS strategy FROM (SELECT o_orderpriority, sum(o_custkey) AS n FROM orders GROUP BY 1)")
+def top_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desensitize.top_strategy(table(spark, sf_dir, "orders").selectExpr("o_orderpriority strategy", "o_custkey occurrences"))
+
+
+ACTIONS = "case o_orderkey % 11 when 1 then 'remove' when 2 then 'ignore' when 3 then 'add' when 4 then 'strategy' end"
+ACTIONS_SQL = ACTIONS.replace("case", "CASE").replace("when", "WHEN").replace("then", "THEN").replace(" end", " END")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    items = o.selectExpr("concat('i', o_orderkey) id", "concat('f', o_custkey) file_id", "0 sheet_index", "0 row", "0 col", "0 start", "4 end", "concat('t', o_orderkey % 7) text", "o_orderpriority type", "'Regex' source", "1.0D confidence")
+    log = o.selectExpr("o_orderkey seq", f"{ACTIONS} action", "case when o_orderkey % 11 = 3 then concat('m', o_orderkey) else concat('i', o_orderkey) end id", "concat('f', o_custkey) file_id", "0 sheet_index", "0 row", "0 col", "0 start", "4 end", "concat('t', o_orderkey % 7) text", "o_orderpriority type", "'Mask' value")
+    return items, log
+
+
+_ACTIVE = f"""log AS (SELECT o_orderkey, {ACTIONS_SQL} AS action, o_custkey AS f, o_orderkey % 7 AS t, o_orderpriority AS type FROM orders),
+every AS (SELECT 'i' || o_orderkey AS id, f, t, type FROM log UNION ALL SELECT 'm' || o_orderkey, f, t, type FROM log WHERE action = 'add'),
+active AS (SELECT e.id, e.type, CASE WHEN s.action = 'strategy' THEN 'Mask' END AS override FROM every e LEFT JOIN log s ON e.id = 'i' || s.o_orderkey
+  WHERE (s.action IS NULL OR s.action <> 'remove') AND NOT EXISTS (SELECT 1 FROM log g WHERE g.action = 'ignore' AND g.f = e.f AND g.t = e.t))"""
+
+
+@query("active_items", f"WITH {_ACTIVE} SELECT id, type, override FROM active")
+def active_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.active_items(*_log(spark, sf_dir)).select("id", "type", "override")
+
+
+@query("active_summary", f"WITH {_ACTIVE} SELECT type, count(*) AS n FROM active GROUP BY ROLLUP (type)")
+def active_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desensitize.summary(edits.active_items(*_log(spark, sf_dir)))
+
+
+@query("edit_log_undo", f"SELECT f, seq FROM {sql.values([('a', 1), ('a', 5), ('b', 4)], 'f, seq')}")
+def edit_log_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", 1, "remove"), ("a", 2, "remove"), ("a", 3, "undo"), ("a", 4, None), ("a", 5, "add"), ("b", 1, "undo"), ("b", 2, "remove"), ("b", 3, "undo"), ("b", 4, "ignore")]
+    return edits.effective(spark.createDataFrame(rows, "file_id string, seq int, action string")).select(F.col("file_id").alias("f"), "seq")
+
+
+@query("whitelist_manual_add", "SELECT o_orderkey AS idx FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE NOT (o_custkey % 3 = 0 AND r = 1)")
+def whitelist_manual_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitelist = table(spark, sf_dir, "orders").selectExpr("o_orderkey idx", "concat('w', o_custkey) text", "'Exact' match_mode", "o_custkey c")
+    return edits.without_first(whitelist, whitelist.where("c % 3 = 0")).select("idx")
+
+
+@query("strategies_allowed", "SELECT t AS type, k AS kind, CASE WHEN t = 'Address' THEN true ELSE k <> 'Generalize' END AS allowed FROM (SELECT unnest(['PersonName', 'OrgName', 'Title', 'Address', 'Phone', 'Custom:x']) AS t), (SELECT unnest(['Mask', 'Replace', 'Generalize']) AS k)")
+def strategies_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(t, ["Mask", "Replace", "Generalize"]) for t in ("PersonName", "OrgName", "Title", "Address", "Phone", "Custom:x")], "type string, kinds array<string>")
+    return t.select("type", F.explode("kinds").alias("kind")).select("type", "kind", edits.is_allowed(F.col("type"), F.col("kind")).alias("allowed"))
+
+
+@query("types_in_order", "SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'Custom' ELSE o_orderpriority END AS type, min(o_orderkey) AS place FROM orders GROUP BY 1")
+def types_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.types_in_order(table(spark, sf_dir, "orders").selectExpr("case when o_orderpriority like '1%' then concat('Custom:', o_custkey) else o_orderpriority end type", "o_orderkey place"))
+
+
+@query("entities_only", "SELECT a.c_custkey AS id FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey % 3 = 0 AND b.c_custkey // 4 = a.c_custkey // 4 AND b.c_custkey % 4 * 5 < a.c_custkey % 4 * 5 + 7 AND a.c_custkey % 4 * 5 < b.c_custkey % 4 * 5 + 3)")
+def entities_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    place = ["concat('f', c_custkey div 4) file_id", "0 sheet_index", "0 row", "0 col"]
+    ner = c.selectExpr(*place, "cast(c_custkey % 4 * 5 as int) start", "cast(c_custkey % 4 * 5 + 7 as int) end", "c_custkey id")
+    others = c.where("c_custkey % 3 = 0").selectExpr(*place, "cast(c_custkey % 4 * 5 as int) start", "cast(c_custkey % 4 * 5 + 3 as int) end")
+    return merge.entities_only(ner, others).select("id")
+
+
+@query("refresh_dictionary", "SELECT c_custkey AS id, 'old' AS version FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0")
+def refresh_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    old = c.selectExpr("c_custkey id", "'old' version", "case when c_custkey % 3 = 0 then 'Dict' else 'Regex' end source")
+    new = c.selectExpr("c_custkey id", "'new' version", "case when c_custkey % 2 = 0 then 'Dict' else 'Ner' end source")
+    return merge.refresh_dictionary(old, new).select("id", "version")
+
+
+@query("restore_same_form", f"SELECT id::BIGINT AS id, text FROM {sql.values([(1, 'met First'), (2, 'met Second'), (3, 'met Third')], 'id, text')}")
+def restore_same_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patterns that look alike once widths are narrowed: the first record's counts, whatever order the rows come in."""
+    segments = detect.segments_of_documents(spark.createDataFrame([(1, "met ＡＢ"), (2, "met AB"), (3, "met Cd")], "doc_id long, text string"))
+    mappings = spark.createDataFrame([("Second", "AB", 1, 0), ("Third", "Ｃｄ", 1, 1), ("First", "ＡＢ", 0, 0), ("Fourth", "Cｄ", 2, 0)], "original_text string, replaced_text string, rec int, idx int").withColumns({"strategy": F.lit("Replace"), "type": F.lit("PersonName")})
+    back, _ = restore.restore(segments, restore.reverse_mappings(mappings).repartition(3, "original"), fuzzy=True)
+    return back.select(F.col("file_id").cast("long").alias("id"), "text")
+
+
+@query("column_inference_entities", "WITH v AS (SELECT c_custkey % 5 AS col, CASE WHEN c_custkey % 3 = 0 THEN 'OrgName' ELSE 'PersonName' END AS t, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY ALL) SELECT col::INT AS col, arg_min(t, (-n, f)) AS inferred_type, round(sum(n) / (SELECT count(*) FROM customer), 9)::DOUBLE AS confidence FROM v GROUP BY col")
+def column_inference_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    items = c.selectExpr("'s' file_id", "0 sheet_index", "c_custkey + 1 row", "cast(c_custkey % 5 as int) col", "case when c_custkey % 3 = 0 then 'OrgName' else 'PersonName' end type", "'Ner' source", "0 ord")
+    rows = c.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("s").alias("file_id"), F.lit(0).alias("sheet_index"), "n_rows")
+    return columns.infer_columns_from_entities(items, rows).select("col", "inferred_type", F.round("confidence", 9).alias("confidence"))

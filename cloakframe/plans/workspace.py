@@ -11,9 +11,11 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloakframe.operators.desensitize import MAPPING
+from cloakframe.operators import restore
+from cloakframe.operators.desensitize import MAPPING, number_in_bucket
 
 HISTORY_CAP = 100
 TABLES = {
@@ -23,10 +25,18 @@ TABLES = {
     "whitelist": "text string, match_mode string",
     "dictionary": "entry_idx int, text string, type string, match_mode string, replacement string, language string",
     "history": "record_id string, file_name string, processed_at timestamp, sensitive_count long, status string",
-    "record_mappings": "record_id string, rec int, idx int, original_text string, replaced_text string, type string, strategy string, occurrences long",
+    "record_mappings": "record_id string, rec int, idx long, original_text string, replaced_text string, type string, strategy string, occurrences long",
 }
 
 
+def newest(records: DataFrame, order: list[str], by: list[str] | tuple = (), cap: int = HISTORY_CAP) -> DataFrame:
+    """The last ``cap`` records by ``order``, in each group of ``by``; the cap is the feature."""
+    if not by:
+        return records.orderBy(*[F.desc(c) for c in order]).limit(cap)
+    w = W.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    return records.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
+
+
 @dataclass
 class Workspace:
     spark: SparkSession
@@ -72,9 +82,12 @@ class Workspace:
         record = uuid.uuid4().hex
         count = mappings.agg(F.sum("occurrences").alias("n")).first()["n"] or 0
         row = self.spark.createDataFrame([(record, file_name, int(count))], "record_id string, file_name string, sensitive_count long").select("record_id", "file_name", F.current_timestamp().alias("processed_at"), "sensitive_count", F.lit("Processed").alias("status"))
-        own = mappings.select(F.lit(record).alias("record_id"), F.lit(0).alias("rec"), F.hash("original_text", "type").alias("idx"), "original_text", "replaced_text", "type", "strategy", "occurrences")
+        # the place in the record is that of the first appearance, where the mappings have one
+        order = ["place"] if "place" in mappings.columns else ["original_text", "type"]
+        placed = number_in_bucket(mappings.withColumn("bucket", F.lit("")), "bucket", order)
+        own = placed.select(F.lit(record).alias("record_id"), F.lit(0).alias("rec"), F.col("k").alias("idx"), "original_text", "replaced_text", "type", "strategy", "occurrences")
         older = self.read("record_mappings").withColumn("rec", F.col("rec") + 1)
-        history = row.unionByName(self.read("history")).orderBy(F.desc("processed_at")).limit(HISTORY_CAP)
+        history = newest(row.unionByName(self.read("history")), ["processed_at", "record_id"])
         self.write("history", history)
         self.write("record_mappings", own.unionByName(older).where(F.col("rec") < HISTORY_CAP))
         return record
@@ -99,3 +112,34 @@ class Workspace:
         sizes = rest.groupBy("primary", "type").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("primary", "type")
         self.write("aliases", rest.join(sizes, ["primary", "type"], "left_semi").select("member", "primary", "type"))
 
+    def add_alias(self, primary: str, member: str, type_key: str) -> str:
+        """A further member of a group; the primary is the longest again, and its mapping becomes that of all."""
+        old = self.read("aliases")
+        group = [r.member for r in old.where((F.col("primary") == primary) & (F.col("type") == type_key)).select("member").collect()]
+        if not group:
+            raise ValueError("no such group")
+        self.write("aliases", old.where((F.col("primary") != primary) | (F.col("type") != type_key)))
+        return self.create_alias_group([*group, member], type_key)
+
+    def delete_alias_group(self, primary: str, type_key: str) -> None:
+        self.write("aliases", self.read("aliases").where((F.col("primary") != primary) | (F.col("type") != type_key)))
+
+    def alias_groups(self) -> DataFrame:
+        """primary, type, members of each group."""
+        return self.read("aliases").groupBy("primary", "type").agg(F.array_sort(F.collect_list("member")).alias("members"))
+
+    def restore_record(self, record: str, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(segments, positions) by the mappings of one record, exactly as written; the record is then Restored."""
+        if not self.read("history").where(F.col("record_id") == record).limit(1).count():
+            raise ValueError("no such record")
+        patterns = restore.reverse_mappings(self.read("record_mappings").where(F.col("record_id") == record))
+        out = restore.restore(segments, patterns)
+        self.set_status(record, "Restored")
+        return out
+
+    def restore_all(self, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(segments, positions) by the mappings of all records, the newest first, also where widths of characters changed."""
+        patterns = restore.reverse_mappings(self.read("record_mappings"))
+        if not patterns.limit(1).count():
+            raise ValueError("the workspace has no mapping that can be undone")
+        return restore.restore(segments, patterns, fuzzy=True)

@@ -22,24 +22,35 @@ def csv_cells(raw: bytes, delimiter: str) -> list[tuple[int, int, str]]:
     return [(r, c, x) for r, line in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)) for c, x in enumerate(line)]
 
 
-def read_csv(spark: SparkSession, path: str, glob: str = "*.{csv,tsv}") -> DataFrame:
-    """Segments of quoted files; tabs separate the cells of .tsv files.  Unreadable files give no cells."""
-    schema = pa.schema([("file_id", pa.string()), ("sheet_index", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string())])
+def csv_rows(spark: SparkSession, path: str, glob: str = "*.{csv,tsv}") -> DataFrame:
+    """Segments of quoted files and ``error``; tabs separate the cells of .tsv files.
+
+    A file that is too large or cannot be read gives one row that has only its name and the error.
+    """
+    schema = pa.schema([("file_id", pa.string()), ("sheet_index", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
-                if f["content"] is None:
-                    continue
-                try:
-                    cells = csv_cells(f["content"], "\t" if f["file_id"].lower().endswith(".tsv") else ",")
-                except ValueError:
-                    continue
+                error, cells = f["error"], []
+                if error is None:
+                    try:
+                        cells = csv_cells(f["content"], "\t" if f["file_id"].lower().endswith(".tsv") else ",")
+                    except (ValueError, csv.Error) as e:
+                        error = str(e)
+                if error is not None:
+                    yield pa.RecordBatch.from_pylist([{"file_id": f["file_id"], "error": error}], schema=schema)
                 for at in range(0, len(cells), 10_000):
                     part = cells[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([f["file_id"]] * len(part)), pa.array([0] * len(part), pa.int32()), *(pa.array(x, t) for x, t in zip(zip(*part), (pa.int32(), pa.int32(), pa.string())))], schema=schema)
+                    columns = [pa.array(x, t) for x, t in zip(zip(*part), (pa.int32(), pa.int32(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([f["file_id"]] * len(part)), pa.array([0] * len(part), pa.int32()), *columns, pa.nulls(len(part), pa.string())], schema=schema)
+
+    return read_files(spark, path, glob).mapInArrow(run, f"{SEGMENT}, error string")
 
-    return read_files(spark, path, glob).mapInArrow(run, SEGMENT)
+
+def read_csv(spark: SparkSession, path: str, glob: str = "*.{csv,tsv}") -> DataFrame:
+    """The segments of ``csv_rows``."""
+    return csv_rows(spark, path, glob).where("error is null").drop("error")
 
 
 def read_large_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:

@@ -182,3 +182,44 @@ def test_windowed_counts(spark, tmp_path):
     q = stream.windowed_counts(source, "ts").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.sql("select * from counts").collect()) == [1, 3]
+
+
+def test_restore_by_record_and_alias_groups(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}", "case")
+    s = segments(spark, "Anna met Bob", "Bob left")
+    items = spark.createDataFrame([("f", 0, 0, 0, 0, 4, "Anna"), ("f", 0, 0, 0, 9, 12, "Bob"), ("f", 0, 1, 0, 0, 3, "Bob")], "file_id string, sheet_index int, row int, col int, start int, end int, text string")
+    items = items.withColumns({"type": F.lit("PersonName"), "source": F.lit("Ner"), "confidence": F.lit(1.0), "ord": F.col("start").cast("long")})
+    done = desensitize.desensitize(s, items)
+    record = w.add_record("f", done.mappings)
+    assert [(r.original_text, r.idx) for r in w.read("record_mappings").orderBy("idx").collect()] == [("Anna", 0), ("Bob", 1)]
+    back, positions = w.restore_record(record, done.segments)
+    assert texts(back) == texts(s) and positions.count() == 3
+    assert [(r.record_id, r.status) for r in w.read("history").collect()] == [(record, "Restored")]
+    assert texts(w.restore_all(done.segments)[0]) == texts(s)
+    with pytest.raises(ValueError):
+        w.restore_record("none", s)
+    with pytest.raises(ValueError):
+        Workspace(spark, f"file://{tmp_path}", "empty").restore_all(s)
+    assert w.create_alias_group(["Bob", "Rob"], "PersonName") == "Rob"
+    assert w.add_alias("Rob", "Robert", "PersonName") == "Robert"
+    assert [(r.primary, r.members) for r in w.alias_groups().collect()] == [("Robert", ["Bob", "Rob", "Robert"])]
+    w.delete_alias_group("Robert", "PersonName")
+    assert w.alias_groups().collect() == []
+
+
+def test_folder_of_all_kinds(spark, tmp_path):
+    from cloakframe.sources import files
+
+    (tmp_path / "a.txt").write_text("one\ntwo\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('h,"x,y"\n1,2\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes(b"\xff\xfe\xff,1\n")
+    (tmp_path / "d.xlsx").write_bytes(office.xlsx_bytes([{"sheet_index": 0, "sheet_name": "S", "row": 0, "col": 0, "text": "cell", "cell_type": "text", "serial": None}]))
+    (tmp_path / "e.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF")
+    got, errors = files.read(spark, f"file://{tmp_path}")
+    name = F.substring_index("file_id", "/", -1).alias("f")
+    assert sorted(map(tuple, got.select(name, "row", "col", "text").collect())) == [("a.txt", 0, 0, "one"), ("a.txt", 1, 0, "two"), ("b.csv", 0, 0, "h"), ("b.csv", 0, 1, "x,y"), ("b.csv", 1, 0, "1"), ("b.csv", 1, 1, "2"), ("d.xlsx", 0, 0, "cell")]
+    assert sorted(r.f for r in errors.select(name).collect()) == ["c.csv", "e.xlsx", "f.pdf"]
+    assert files.exists(spark, f"file://{tmp_path}/a.txt") and not files.exists(spark, f"file://{tmp_path}/z.txt")
+    out = files.export(got)
+    assert [r.text for r in out["txt"].collect()] == ["one\ntwo"] and [r.text for r in out["csv"].collect()] == ['h,"x,y"\n1,2']

@@ -48,8 +48,8 @@ END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
 #: Text that is encoded at once, and the pieces that a worker keeps (of at most PIECE_BYTES; both affect cost only).
-RUN_BYTES = 12 << 20
-CACHE_PIECES = 500_000
+RUN_BYTES = 4 << 20
+CACHE_PIECES = 300_000
 PIECE_BYTES = 64
 MANIFEST = "shard long, tokens string, index string, n_ids long, n_docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])

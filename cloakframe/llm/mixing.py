@@ -57,26 +57,32 @@ def with_margins(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``raked`` and the probability ``p`` to cells (source, lang, topic, tokens)."""
+    """Adds the targets ``t_...``, ``raked`` and the probability ``p`` to cells (source, lang, topic, tokens).
+
+    Each step uses the cells twice, so they are written after each round and the plans stay small.
+    """
+    cells = materialize(cells, "cells")
+    tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
+    own = {}
     for m in MARGINS:
+        own[m] = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"))
         if targets and m in targets:
-            t = targets[m].select(F.col("value").alias(m), F.col("weight").cast("double").alias(f"t_{m}"))
-            cells = cells.join(t, m, "left").withColumn(f"t_{m}", F.coalesce(f"t_{m}", F.lit(0.0)))
+            t = targets[m].groupBy(F.coalesce("value", F.lit("")).alias(m)).agg(F.sum("weight").cast("double").alias("weight"))
+            own[m] = own[m].join(t, m, "left").select(m, F.coalesce("weight", F.lit(0.0)).alias(f"t_{m}"))
         else:
-            values = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[m])).alias(f"t_{m}"))
-            cells = cells.join(values, m)
+            own[m] = own[m].select(m, F.pow("own", F.lit(powers[m])).alias(f"t_{m}"))
+    sums = {m: own[m].agg(F.sum(f"t_{m}").alias("s")).first()["s"] or 1.0 for m in MARGINS}
     cells = cells.withColumn("raked", F.col("tokens").cast("double"))
+    for m in MARGINS:
+        cells = cells.join(own[m], m)
     cells = materialize(cells, "cells")
-    sums = {m: cells.groupBy(m).agg(F.first(f"t_{m}").alias("t")).agg(F.sum("t").alias("s")).first()["s"] or 1.0 for m in MARGINS}
-    tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
-    for r in range(rounds):
+    for _ in range(rounds):
         for m in MARGINS:
             # sums are aggregated before they are joined back, so a value that holds most cells is no hot key
             have = cells.groupBy(m).agg(F.sum("raked").alias("have"))
             want = F.col(f"t_{m}") / F.lit(sums[m]) * F.lit(tokens)
             cells = cells.join(have, m).withColumn("raked", F.when(F.col("have") > 0, F.col("raked") * want / F.col("have")).otherwise(0.0)).drop("have")
-        if r % 2 == 1:
-            cells = materialize(cells, "raked")
+        cells = materialize(cells, "raked")
     ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
     top = cells.agg(F.max(ratio).alias("m")).first()["m"] or 1.0
     return cells.withColumn("p", ratio / F.lit(float(top)))

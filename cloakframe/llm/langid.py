@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
-from .words import text_slices
+from .words import give_back, text_slices
 
 PER_LANG = 500
 MAX_ROWS = 4000
@@ -72,28 +72,53 @@ def feature_ids(buf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [x + np.uint32(k << BITS) for k, x in enumerate(out)]
 
 
-def vectors(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), ORDERS << BITS), np.float32)
-    for row, text in zip(out, texts):
+WIDTH = ORDERS << BITS
+#: Rows of one block of training vectors, which bounds the copies that a step makes.
+BLOCK = 200
+
+
+def vectors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and values of each text's vector of unit length."""
+    out = []
+    for text in texts:
+        row = np.zeros(WIDTH, np.float32)
         for ids in feature_ids(np.frombuffer(text, np.uint8), np.zeros(min(1, len(text)), np.int64)):
-            row += np.bincount(ids, minlength=ORDERS << BITS)
-        row /= max(np.linalg.norm(row), 1e-9)
+            row += np.bincount(ids, minlength=WIDTH)
+        at = np.flatnonzero(row).astype(np.uint16)
+        out.append((at, row[at] / max(np.linalg.norm(row), 1e-9)))
     return out
 
 
-def fit_svm(x: np.ndarray, positive: np.ndarray, steps: int = 60, c: float = 20.0) -> np.ndarray:
+@dataclass
+class Block:
+    """Some training vectors of one language, as features and values one row after the other."""
+
+    at: np.ndarray
+    value: np.ndarray
+    sizes: np.ndarray
+
+    def values(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.at] * self.value, np.cumsum(self.sizes) - self.sizes)
+
+    def total(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * np.repeat(weights, self.sizes), WIDTH)
+
+
+def fit_svm(positive: list[Block], negative: list[Block], steps: int = 60, c: float = 20.0) -> np.ndarray:
     """Linear machine with squared hinge loss by accelerated gradient steps; the last weight is the bias."""
-    y = np.where(positive, 1, -1).astype(np.float32)
-    cost = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1)).astype(np.float32) * c
-    w = np.zeros(x.shape[1] + 1, np.float32)
-    ahead, rate = w.copy(), np.float32(1 / (1 + 4 * c))
+    sides = [(block, side, c * 0.5 / sum(len(b.sizes) for b in blocks)) for side, blocks in ((1.0, positive), (-1.0, negative)) for block in blocks]
+    w = np.zeros(WIDTH + 1)
+    ahead, rate = w.copy(), 1 / (1 + 4 * c)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1])) * cost * y
-        grad = np.append(ahead[:-1] - 2 * (x.T @ slack), -2 * slack.sum())
+        grad = np.append(ahead[:-1], 0.0)
+        for block, side, cost in sides:
+            slack = np.maximum(0, 1 - side * (block.values(ahead[:-1].astype(np.float32)) + ahead[-1])) * cost * side
+            grad[:-1] -= 2 * block.total(slack.astype(np.float32))
+            grad[-1] -= 2 * slack.sum()
         new = ahead - rate * grad
         ahead = new + k / (k + 3) * (new - w)
         w = new
-    return w
+    return w.astype(np.float32)
 
 
 @dataclass
@@ -172,29 +197,32 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole texts as sparse vectors, so what goes to the driver is bounded by their length."""
         for batch in batches:
-            x = vectors([(t or "").encode() for t in batch.column(1).to_pylist()])
-            at = [np.flatnonzero(row).astype(np.uint16) for row in x]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([k.tobytes() for k in at], pa.binary()), pa.array([row[k].tobytes() for row, k in zip(x, at)], pa.binary())], names=["lang", "h", "at", "x"]
-            )
+            found = vectors([(t or "").encode() for t in batch.column(1).to_pylist()])
+            parts = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["lang", "h", "at", "x"])
 
     bounded_batches(docs.sparkSession)
     sample = labelled.where(F.col("h") <= bound[F.col("lang")]).where(has_letter()).select("lang", "text", "h")
     rows = sample.mapInArrow(features, "lang string, h long, at binary, x binary").orderBy("h", "lang", "at", "x").limit(max_rows).collect()
-    langs = sorted({r.lang for r in rows})
-    lang = np.array([r.lang for r in rows], object)
-    x = np.zeros((len(rows), ORDERS << BITS), np.float32)
-    for row, r in zip(x, rows):
-        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.x, np.float32)
-    family = np.array([FAMILY.get(v, v) for v in lang], object)
-    families = sorted(set(family))
-    model, weights = Model(langs, families), []
-    for labels, names in [(family, families)] + [(lang, [v for v in langs if FAMILY.get(v, v) == f]) for f in families]:
-        for a, b in combinations(names, 2):
-            own = (labels == a) | (labels == b)
+    blocks: dict[str, list[Block]] = {}
+    for lang in sorted({r.lang for r in rows}):
+        own = [r for r in rows if r.lang == lang]
+        for part in (own[k : k + BLOCK] for k in range(0, len(own), BLOCK)):
+            at, x = (b"".join(r[name] for r in part) for name in ("at", "x"))
+            blocks.setdefault(lang, []).append(Block(np.frombuffer(at, np.uint16), np.frombuffer(x, np.float32), np.array([len(r["at"]) // 2 for r in part])))
+    own = part = rows = None
+    give_back()
+    langs = list(blocks)
+    families: dict[str, dict[str, list[Block]]] = {}
+    for lang, own in blocks.items():
+        families.setdefault(FAMILY.get(lang, lang), {})[lang] = own
+    whole = {name: [b for own in members.values() for b in own] for name, members in sorted(families.items())}
+    model, weights = Model(langs, list(whole)), []
+    for members in [whole, *(families[name] for name in whole)]:
+        for a, b in combinations(members, 2):
             model.pairs.append((a, b))
-            weights.append(fit_svm(x if own.all() else x[own], labels[own] == a))
-    model.weights = np.array(weights) if weights else np.zeros((0, x.shape[1] + 1), np.float32)
+            weights.append(fit_svm(members[a], members[b]))
+    model.weights = np.array(weights) if weights else np.zeros((0, WIDTH + 1), np.float32)
     return model
 
 

@@ -59,7 +59,7 @@ def with_margins(docs: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """Adds the targets ``t_...``, ``raked`` and the probability ``p`` to cells (source, lang, topic, tokens).
 
-    Each step uses the cells twice, so they are written after each round and the plans stay small.
+    Each step uses the cells twice, so they are written after each step and the plans stay small.
     """
     cells = materialize(cells, "cells")
     tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
@@ -81,8 +81,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers:
             # sums are aggregated before they are joined back, so a value that holds most cells is no hot key
             have = cells.groupBy(m).agg(F.sum("raked").alias("have"))
             want = F.col(f"t_{m}") / F.lit(sums[m]) * F.lit(tokens)
-            cells = cells.join(have, m).withColumn("raked", F.when(F.col("have") > 0, F.col("raked") * want / F.col("have")).otherwise(0.0)).drop("have")
-        cells = materialize(cells, "raked")
+            raked = F.when(F.col("have") > 0, F.col("raked") * want / F.col("have")).otherwise(0.0)
+            cells = materialize(cells.join(have, m).withColumn("raked", raked).drop("have"), "raked")
     ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
     top = cells.agg(F.max(ratio).alias("m")).first()["m"] or 1.0
     return cells.withColumn("p", ratio / F.lit(float(top)))

@@ -14,8 +14,8 @@ Defined results: rows with a null label, a null vector, a null or non-finite com
 take no part; vectors of fewer dimensions count as filled up with 0; rows that repeat an id are rows
 of their own (another row with an anchor's id and label is one of its positives); equal scores go by
 the smaller id; an anchor without another row of its label, or whose windows are empty, gives no
-rows; an empty table gives none.  Components must stay below 2^24 in size, so that scores are exact
-in doubles.
+rows; an empty table gives none.  Components must be so small that scores are exact in doubles (their
+squares times dimensions below 2^53), else the query fails.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def chunks(rows: DataFrame, dims: int, size: int) -> DataFrame:
             vectors = np.zeros((n, dims))
             row = np.repeat(np.arange(n), np.diff(ends))
             vectors[row, np.arange(len(flat)) - ends[row]] = np.floor(SCALE * flat)
-            if vectors.size and np.abs(vectors).max() >= 1 << 24:
+            if vectors.size and np.abs(vectors).max() ** 2 * dims >= 2**53:
                 raise ValueError("a component is too large for exact scores")
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), vectors))
             have += n

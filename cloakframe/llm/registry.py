@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, hard_negatives, html_text, importance_resampling, langid, license_scan, media, mixing, ngram_join, sqltext, substring_dedup, suffix_tree_lm, token_files
+from . import decontaminate, hard_negatives, html_text, importance_resampling, langid, license_scan, media, mixing, ngram_join, sqltext, substring_dedup, suffix_tree_lm, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_importance_resampling": importance_resampling.op13_importance_resampling,
     "pipeline": corpus_pipeline.run,

@@ -46,7 +46,7 @@ WITH cut AS (SELECT k, skip, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNO
 words AS (SELECT k, skip, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM cut),
 win AS (SELECT k, skip, i, w AS w0{ahead} FROM words WINDOW x AS (PARTITION BY k ORDER BY i)),
 grams AS ({features})
-SELECT k, b, count(*) AS n FROM (SELECT k, crc_bucket(f) AS b FROM grams) GROUP BY k, b
+SELECT k, crc_bucket(f) AS b, sum(n)::BIGINT AS n FROM (SELECT k, f, count(*) AS n FROM grams GROUP BY k, f) GROUP BY k, b
 UNION ALL SELECT k, -1 AS b, count(*) AS n FROM words WHERE i > skip GROUP BY k
 ORDER BY k, b"""
 
@@ -62,7 +62,8 @@ class Counter:
 
         def crc(features: pa.Array) -> pa.Array:
             whole = features.combine_chunks() if isinstance(features, pa.ChunkedArray) else features
-            return pa.array([zlib.crc32(x) % buckets for x in whole.cast(pa.binary()).to_pylist()], pa.int32())
+            codes = np.fromiter(map(zlib.crc32, whole.cast(pa.binary()).to_pylist()), np.uint32, len(whole))
+            return pa.array((codes % np.uint32(buckets)).astype(np.int32))
 
         self.db.create_function("crc_bucket", crc, ["VARCHAR"], "INTEGER", type="arrow")
 

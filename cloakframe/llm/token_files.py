@@ -121,7 +121,7 @@ class Encoder:
         return np.concatenate([np.empty(0, self.dtype), *parts]), np.array([len(p) for p in parts], np.int64)
 
     def _by_pieces(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        w = split_words(_lowered(buf), offsets, SPACE)
+        w = split_words(_lowered(buf, offsets), offsets, SPACE)
         _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         size = w.end[at] - w.start[at]
         bounds = np.append(0, np.cumsum(size + 1))  # each distinct word, with a blank behind it
@@ -197,16 +197,16 @@ class Encoder:
         return count, flat
 
 
-def _lowered(buf: np.ndarray) -> np.ndarray:
-    """A-Z lower-cased, but not in words that may hold a special token."""
+def _lowered(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, but not in words that may hold a special token; words end with their document."""
     low = LOWER[buf]
-    for at in np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C)).tolist():
-        a = b = at
-        while a and not SPACE[buf[a - 1]]:
-            a -= 1
-        while b < len(buf) and not SPACE[buf[b]]:
-            b += 1
-        low[a:b] = buf[a:b]
+    at = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))
+    if len(at):
+        w = split_words(buf, offsets, SPACE, hashed=False)
+        word = np.searchsorted(w.start, at, "right") - 1
+        word = np.unique(word[at + 1 < w.end[word]])
+        own = ragged(w.start[word], w.end[word] - w.start[word])
+        low[own] = buf[own]
     return low
 
 

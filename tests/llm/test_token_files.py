@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -42,3 +43,21 @@ def test_edges(spark):
     twice = df.limit(2).union(df.limit(2)).union(spark.createDataFrame([(None, "q", "", 0)], df.schema))
     got = m.read_documents(m.write_token_files(twice, shared_dir(spark, "t"))).collect()
     assert len(got) == 5 and min(got, key=lambda r: r.start).doc_id is None
+
+
+def test_runs_equal_whole_texts():
+    """12,000 hostile texts in runs of many: special tokens, halves of them beside a neighbour's, contractions, marks, scripts."""
+    r = random.Random(11)
+    parts = ["<|", "|>", "<", "|", "<|endoftext|>", "<|pad|>", " ", "\n", "\t", " ", "X", "Foo", "a", "Z9", "12", "'s", "'", "É", "é", "́", "ß", "İ", "中", "ж", "!!", "x<", "...", "\x00", "🙂", "Don't", "D", ""]
+    texts = ["".join(r.choices(parts, k=r.randrange(9))) for _ in range(12_000)]
+    texts += ["x <|", "D and More", "see a<", "|Dx Foo", "Big", "<|y", "<|" * 3000 + "A", "A" * 5000]
+    path = m.default_tokenizer()
+    encoder, whole = m.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.by_pieces
+    for at in range(0, len(texts), 97):
+        own = [t.encode() for t in texts[at : at + 97]]
+        buf, offsets = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+        ids, counts = encoder.encode(buf, offsets, 2)
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts[at : at + 97]]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]

@@ -24,10 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, partitions_for
+from .shared import bounded_batches, materialize, ranked
 
 BUCKETS, GRAMS = 10_000, 2
 PERCENT, MIN_WORDS, SEED = 25, 20, 7
@@ -183,22 +182,6 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``place``: 1, 2, 3, ... by ``order``, without a task that sees all rows.
-
-    Rows are dealt by ranges; a partition numbers its own rows after the counts of those before it.
-    """
-    spark = rows.sparkSession
-    laid = materialize(rows.repartitionByRange(partitions_for(rows), *order).withColumn("__part", F.spark_partition_id()), "laid")
-    sizes, before, at = dict(laid.groupBy("__part").count().collect()), [], 0
-    for part in sorted(sizes):
-        before.append((part, at))
-        at += sizes[part]
-    starts = spark.createDataFrame(before, "__part int, __before long")
-    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return laid.withColumn("place", own).join(F.broadcast(starts), "__part").withColumn("place", F.col("place") + F.col("__before")).drop("__part", "__before")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, seed: int = SEED, buckets: int = BUCKETS, grams: int = GRAMS) -> DataFrame:
     """rest, n_words, n_features, weight, score and rank (null if not drawn) of every row of docs (doc_id, text, ...).
 

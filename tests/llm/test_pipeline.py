@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -74,3 +75,16 @@ def test_columns_that_clash(spark, sf_dir):
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.columns == [*COLUMNS, *names]
         assert {tuple(r[c] for c in names) for r in docs.collect()} == {("x",) * len(names)}
+
+
+def test_one_id_on_a_copy_and_a_clean_text(spark):
+    """A row goes with its group, not with its doc_id."""
+    r = random.Random(2)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, b, c = words(60), words(60), words(60)
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " end"), (4, c), (4, c + " more"), (4, c), (None, a), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    fours = [x for x in got if x[0] == 4]
+    assert len(fours) == 1 and fours[0] in rows
+    assert sorted((x for x in got if x[0] != 4), key=repr) == sorted([(1, a), (2, b), (None, a), (5, None), (6, "")], key=repr)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.spans import detect_spans
 from cloakframe.model import MASK, TYPES
-from cloakframe.operators.desensitize import entity_values
+from cloakframe.operators.desensitize import MAPPING, entity_values
 from cloakframe.operators.rules import rules_for
+from cloakframe.storage import keep
+
+MAPPING_COLUMNS = [x.split()[0] for x in MAPPING.split(", ")]
 
 SAMPLE_ROWS = 100
 MIN_SHARE = 0.3
@@ -60,23 +65,46 @@ def merge_inferences(pattern: DataFrame, entity: DataFrame) -> DataFrame:
     return joined.select("file_id", "sheet_index", "col", F.when(take, F.col("e_type")).otherwise(F.col("inferred_type")).alias("inferred_type"), F.when(take, F.col("e_confidence")).otherwise(F.col("confidence")).alias("confidence"))
 
 
-def desensitize_columns(segments: DataFrame, rules: DataFrame, language: str = "en", prior: DataFrame | None = None, aliases: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(segments, mappings, codebook): whole cells of the ruled columns, header and empty cells untouched.
+class ColumnResult(NamedTuple):
+    segments: DataFrame
+    #: original_text, type, replaced_text, strategy, occurrences
+    mappings: DataFrame
+    #: file_id, header, type, strategy, original, replaced of the reversible columns
+    codebook: DataFrame
+    #: mappings with those of earlier runs; first wins
+    state: DataFrame
+    #: bucket, n: how far each counter has come
+    counters: DataFrame
+    #: the mappings of ``state`` that earlier runs did not have
+    fresh: DataFrame
+
+
+def desensitize_columns(segments: DataFrame, rules: DataFrame, language: str = "en", prior: DataFrame | None = None, aliases: DataFrame | None = None, counters: DataFrame | None = None, seed: int = 42) -> ColumnResult:
+    """Whole cells of the ruled columns rewritten, header and empty cells untouched.
 
     rules: sheet_index, col, type, kind, keep_prefix, keep_suffix, style, reversible.  The codebook
     has the changed values of reversible columns; a mask is never reversible.  A value is made by the
     rule of the first cell (sheet, column, row) with its text and type, and holds for the others too.
+    ``prior`` and ``counters`` are the state of earlier runs: a text that has a mapping keeps it, and
+    numbers go on from the counters, so no two texts get one value.
     """
+    spark = segments.sparkSession
     ruled = segments.where("row > 0 and text <> ''").join(rules, ["sheet_index", "col"])
     cells = ruled.select("text", "type", "kind", "keep_prefix", "keep_suffix", "style", F.struct("file_id", "sheet_index", "col", "row").alias("place"))
-    values, _ = entity_values(cells, None, language, prior, aliases, None, seed)
+    values, used = entity_values(cells, None, language, prior, aliases, counters, seed)
+    values = keep(values, "column-values")
     new = ruled.join(values.select("text", "type", "replaced", "strategy"), ["text", "type"])
     changed = new.where("replaced <> text")
     out = segments.join(new.select("file_id", "sheet_index", "row", "col", "replaced"), ["file_id", "sheet_index", "row", "col"], "left").withColumn("text", F.coalesce("replaced", "text")).drop("replaced")
     mappings = changed.groupBy(F.col("text").alias("original_text"), "type").agg(F.min("replaced").alias("replaced_text"), F.min("strategy").alias("strategy"), F.count(F.lit(1)).alias("occurrences"))
     header = segments.where("row = 0").select("file_id", "sheet_index", "col", F.col("text").alias("header"))
     book = changed.where((F.col("kind") != MASK) & F.col("reversible")).join(header, ["file_id", "sheet_index", "col"]).select("file_id", "header", "type", F.col("kind").alias("strategy"), F.col("text").alias("original"), "replaced").distinct()
-    return out, mappings, book
+    old = (prior if prior is not None else spark.createDataFrame([], MAPPING)).select(*MAPPING_COLUMNS)
+    made = values.select(F.col("text").alias("original_text"), "type", F.col("replaced").alias("replaced_text"), "strategy")
+    # the value of a group's primary is kept too, for members that come later
+    groups = values.where("entity <> text").groupBy("entity", "type").agg(F.min("replaced").alias("replaced_text"), F.min("strategy").alias("strategy")).select(F.col("entity").alias("original_text"), "type", "replaced_text", "strategy")
+    fresh = made.unionByName(groups).dropDuplicates(["original_text", "type"]).join(old, ["original_text", "type"], "left_anti")
+    return ColumnResult(out, mappings, book, old.unionByName(fresh), used, fresh)
 
 
 PLACE = ["file_id", "sheet_index", "row", "col"]

@@ -32,6 +32,8 @@ class Result(NamedTuple):
     state: DataFrame
     #: bucket, n: how far each counter has come
     counters: DataFrame
+    #: the mappings of ``state`` that earlier runs did not have
+    fresh: DataFrame | None = None
 
 
 def strategies_table(spark: SparkSession, changes: dict[str, tuple] | None = None, inconsistent: set[str] = frozenset()) -> DataFrame:
@@ -153,8 +155,9 @@ def desensitize(segments: DataFrame, items: DataFrame, strategies: DataFrame | N
     primaries = values.where("entity <> text").groupBy("entity", "type").agg(F.min("replaced").alias("r"), F.min("strategy").alias("s")).select(F.col("entity").alias("original_text"), "type", F.col("r").alias("replaced_text"), F.col("s").alias("strategy"))
     old = prior if prior is not None else spark.createDataFrame([], MAPPING)
     added = new.unionByName(primaries).dropDuplicates(["original_text", "type"])
-    state = old.select("original_text", "type", "replaced_text", "strategy").unionByName(added.join(old, ["original_text", "type"], "left_anti"))
-    return Result(splice_items(segments, done), mappings, summary(placed), state, used)
+    fresh = added.join(old, ["original_text", "type"], "left_anti")
+    state = old.select("original_text", "type", "replaced_text", "strategy").unionByName(fresh)
+    return Result(splice_items(segments, done), mappings, summary(placed), state, used, fresh)
 
 
 def desensitize_by_template(segments: DataFrame, items: DataFrame, entries: DataFrame, prior: DataFrame | None = None) -> Result:

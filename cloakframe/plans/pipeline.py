@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.operators import desensitize, detect, dictionary, entities, merge
-from cloakframe.plans.workspace import Workspace
+from cloakframe.plans.catalog import Conflict
+from cloakframe.plans.workspace import Workspace, columns_of
 from cloakframe.storage import keep
 
+MAPPING_COLUMNS = columns_of("mappings")
+
 
 @dataclass
 class Options:
@@ -44,18 +48,36 @@ def find_items(segments: DataFrame, options: Options, user_entries: DataFrame |
     return merge.apply_enabled(items, options.enabled)
 
 
-def run(segments: DataFrame, options: Options | None = None, workspace: Workspace | None = None, file_name: str = "") -> desensitize.Result:
-    """Detect and rewrite; a workspace gives and keeps mappings, counters, aliases and lists."""
+#: Runs that start again because another writer committed meanwhile.
+TRIES = 10
+
+
+def run(segments: DataFrame, options: Options | None = None, workspace: Workspace | None = None, file_name: str = "", batch: tuple[str, int] | None = None) -> desensitize.Result:
+    """Detect and rewrite; a workspace gives and keeps mappings, counters, aliases and lists.
+
+    All of a run's state is one commit.  A run that loses against another writer starts again from
+    that writer's state, so no value is given to two texts.  batch (stream, number) is kept with it.
+    """
     options = options or Options()
-    state = {t: workspace.read(t) for t in ("mappings", "counters", "aliases", "whitelist", "dictionary")} if workspace else {}
-    items = keep(find_items(segments, options, state.get("dictionary"), state.get("whitelist")), "items")
-    table = desensitize.strategies_table(segments.sparkSession, options.strategies, options.inconsistent)
-    done = desensitize.desensitize(segments, items, table, options.language, state.get("mappings"), state.get("aliases"), state.get("counters"), options.seed)
-    if workspace:
-        workspace.write("mappings", keep(done.state, "state"))
-        workspace.write("counters", keep(done.counters, "counters"))
-        workspace.add_record(file_name, done.mappings)
-    return done
+    for k in range(TRIES):
+        base = workspace.snapshot() if workspace else None
+        state = {t: workspace.read(t, base) for t in ("mappings", "counters", "aliases", "whitelist", "dictionary")} if workspace else {}
+        items = keep(find_items(segments, options, state.get("dictionary"), state.get("whitelist")), "items")
+        table = desensitize.strategies_table(segments.sparkSession, options.strategies, options.inconsistent)
+        done = desensitize.desensitize(segments, items, table, options.language, state.get("mappings"), state.get("aliases"), state.get("counters"), options.seed)
+        if not workspace:
+            return done
+        changes, meta = workspace.record_changes(base, uuid.uuid4().hex, file_name, done.mappings)
+        changes |= {"mappings": ("append", done.fresh.select(*MAPPING_COLUMNS)), "counters": ("replace", done.counters)}
+        if batch:
+            meta["batches"] = {**base.batches, batch[0]: batch[1]}
+        try:
+            workspace.log.commit(base, changes, **meta)
+            return done
+        except Conflict:
+            if k == TRIES - 1:
+                raise
+    raise Conflict(file_name)
 
 
 def file_report(segments: DataFrame, items: DataFrame) -> DataFrame:

@@ -418,14 +418,14 @@ _CUSTOMER_COLUMNS = f"c AS (SELECT c_custkey, c_name, 'user' || c_custkey || '@m
 
 @query("column_mode", f"WITH {_CUSTOMER_COLUMNS} SELECT c_custkey + 1 AS row, fake AS name, {sql.mask('mail', '2', '4')} AS mail, CASE WHEN phone = '' THEN '' ELSE {fakes.random_format('UsPhone', 'phone', 42, duck=True)} END AS phone FROM c")
 def column_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _, _ = columns.desensitize_columns(_wide(spark, sf_dir), spark.createDataFrame(COLUMN_RULES, RULE_SCHEMA))
+    out, *_ = columns.desensitize_columns(_wide(spark, sf_dir), spark.createDataFrame(COLUMN_RULES, RULE_SCHEMA))
     cells = out.where("row > 0").groupBy("row").agg(*[F.max(F.when(F.col("col") == k, F.col("text"))).alias(c) for k, c in enumerate(["name", "mail", "phone"])])
     return cells.select(F.col("row").cast("long").alias("row"), "name", "mail", "phone")
 
 
 @query("codebook", f"WITH {_CUSTOMER_COLUMNS} SELECT 'name' AS header, 'PersonName' AS type, c_name AS original, fake AS replaced FROM c UNION ALL SELECT DISTINCT 'phone', 'UsPhone', phone, {fakes.random_format('UsPhone', 'phone', 42, duck=True)} FROM c WHERE phone <> ''")
 def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, book = columns.desensitize_columns(_wide(spark, sf_dir), spark.createDataFrame(COLUMN_RULES, RULE_SCHEMA))
+    _, _, book, *_ = columns.desensitize_columns(_wide(spark, sf_dir), spark.createDataFrame(COLUMN_RULES, RULE_SCHEMA))
     return book.select("header", "type", "original", "replaced")
 
 
@@ -603,7 +603,7 @@ def column_mode_two_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey + 1 as row", "cast(13900000000 + c_custkey as string) as a", "cast(13800000000 + c_custkey div 2 as string) as b")
     cells = detect.segments_of_table(c, F.col("row"), "sheet", ["a", "b"])
     rules = spark.createDataFrame([(0, 0, "Phone", MASK, 3, 4, None, False), (0, 1, "Phone", MASK, 0, 0, None, False)], RULE_SCHEMA)
-    out, _, _ = columns.desensitize_columns(cells, rules)
+    out, *_ = columns.desensitize_columns(cells, rules)
     wide = out.where("row > 0").groupBy("row").agg(*[F.max(F.when(F.col("col") == k, F.col("text"))).alias(n) for k, n in enumerate(["first_col", "second_col"])])
     return wide.select(F.col("row").cast("long").alias("row"), "first_col", "second_col")
 
@@ -627,7 +627,7 @@ def column_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey + 1 as row", "c_name", "c_mktsegment")
     cells = detect.segments_of_table(c, F.col("row"), "sheet", ["c_name", "c_mktsegment"])
     rules = spark.createDataFrame([(0, 0, "PersonName", MASK, 1, 1, None, False), (0, 1, "OrgName", MASK, 1, 1, None, False)], RULE_SCHEMA)
-    done, mappings, _ = columns.desensitize_columns(cells, rules)
+    done, mappings, *_ = columns.desensitize_columns(cells, rules)
     back, left = columns.undo_column(done, cells, mappings, spark.createDataFrame([("sheet", 0, 0)], "file_id string, sheet_index int, col int"))
     texts = back.where("row > 0").groupBy("row").agg(*[F.max(F.when(F.col("col") == k, F.col("text"))).alias(n) for k, n in enumerate(["original_text", "replaced_text"])])
     return texts.select(F.lit("text").alias("kind"), F.col("row").cast("long").alias("n"), "original_text", "replaced_text").unionByName(left.select(F.lit("mapping").alias("kind"), F.col("occurrences").alias("n"), "original_text", "replaced_text"))
@@ -651,8 +651,9 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _ACTIVE = f"""log AS (SELECT o_orderkey, {ACTIONS_SQL} AS action, o_custkey AS f, o_orderkey % 7 AS t, o_orderpriority AS type FROM orders),
 every AS (SELECT 'i' || o_orderkey AS id, f, t, type FROM log UNION ALL SELECT 'm' || o_orderkey, f, t, type FROM log WHERE action = 'add'),
+ignored AS (SELECT f, t FROM log WHERE action IN ('ignore', 'add') GROUP BY f, t HAVING arg_max(action, o_orderkey) = 'ignore'),
 active AS (SELECT e.id, e.type, CASE WHEN s.action = 'strategy' THEN 'Mask' END AS override FROM every e LEFT JOIN log s ON e.id = 'i' || s.o_orderkey
-  WHERE (s.action IS NULL OR s.action <> 'remove') AND NOT EXISTS (SELECT 1 FROM log g WHERE g.action = 'ignore' AND g.f = e.f AND g.t = e.t))"""
+  WHERE (s.action IS NULL OR s.action <> 'remove') AND NOT EXISTS (SELECT 1 FROM ignored g WHERE g.f = e.f AND g.t = e.t))"""
 
 
 @query("active_items", f"WITH {_ACTIVE} SELECT id, type, override FROM active")
@@ -665,10 +666,24 @@ def active_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desensitize.summary(edits.active_items(*_log(spark, sf_dir)))
 
 
-@query("edit_log_undo", f"SELECT f, seq FROM {sql.values([('a', 1), ('a', 5), ('b', 4)], 'f, seq')}")
+_UNDO = "CASE o_orderkey % 5 WHEN 0 THEN 'undo' WHEN 1 THEN 'remove' WHEN 2 THEN 'undo' WHEN 3 THEN 'strategy' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'ignore' ELSE 'add' END END"
+
+
+@query(
+    "edit_log_undo",
+    f"""WITH log AS (SELECT o_custkey % 40 AS f, o_orderkey AS seq, {_UNDO} AS action FROM orders),
+stack AS (SELECT *, CASE WHEN action = 'undo' THEN -1 ELSE 1 END AS d FROM log WHERE action <> 'ignore'),
+walk AS (SELECT *, sum(d) OVER (PARTITION BY f ORDER BY seq) AS raw FROM stack),
+floored AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY f ORDER BY seq)) AS height FROM walk),
+levels AS (SELECT *, lag(height, 1, 0) OVER (PARTITION BY f ORDER BY seq) AS before FROM floored),
+moved AS (SELECT *, CASE WHEN d = 1 THEN height ELSE before END AS level FROM levels WHERE d = 1 OR before > 0),
+undone AS (SELECT f, seq, d, lead(d) OVER (PARTITION BY f, level ORDER BY seq) AS next FROM moved)
+SELECT f::VARCHAR AS f, seq FROM undone WHERE d = 1 AND coalesce(next, 1) = 1 UNION ALL SELECT f::VARCHAR, seq FROM log WHERE action = 'ignore'""",
+)
 def edit_log_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 1, "remove"), ("a", 2, "remove"), ("a", 3, "undo"), ("a", 4, None), ("a", 5, "add"), ("b", 1, "undo"), ("b", 2, "remove"), ("b", 3, "undo"), ("b", 4, "ignore")]
-    return edits.effective(spark.createDataFrame(rows, "file_id string, seq int, action string")).select(F.col("file_id").alias("f"), "seq")
+    """Edits that no undo takes back; an ignored text is none that an undo sees.  No stack here is as deep as the bound."""
+    rows = table(spark, sf_dir, "orders").selectExpr("cast(o_custkey % 40 as string) file_id", "o_orderkey seq", f"{_UNDO} action")
+    return edits.effective(rows).select(F.col("file_id").alias("f"), "seq")
 
 
 @query("whitelist_manual_add", "SELECT o_orderkey AS idx FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE NOT (o_custkey % 3 = 0 AND r = 1)")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cloakframe.plans import queries
+from cloakframe.plans.registry import MODULES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Its SQL counts on a hundred customers.
@@ -17,13 +17,17 @@ def connection(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     sf = "/root/testdata/sf0.001"
-    df = queries.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
-    rel = connection(sf).sql(queries.ORACLE_SQL[name])
+    rel = connection(sf).sql(SQL[name])
     at = [list(rel.columns).index(c) for c in cols]
     assert sorted(rel.columns) == cols
     assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)

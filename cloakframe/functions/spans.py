@@ -81,14 +81,28 @@ def candidates(text: Column, rule: Rule, k: int, guard: Column | None = None) ->
 
 
 def no_overlap(spans: Column) -> Column:
-    """Greedy: a span stays unless it overlaps one that stayed before it."""
-    first = F.filter(spans, lambda x: F.lit(False))
+    """Greedy: a span stays unless it overlaps one that stayed before it.
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    Spans are swept by their starts, and only those that reach into one another are compared.
+    """
+    placed = F.array_sort(F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x.alias("x"))))
+    none = F.filter(placed, lambda x: F.lit(False))
+
+    def sweep(a: Column, x: Column) -> Column:
+        apart = x["start"] >= a["reach"]
+        done = F.when(apart, F.concat(a["done"], F.array(a["run"]))).otherwise(a["done"])
+        run = F.when(apart, F.array(x)).otherwise(F.concat(a["run"], F.array(x)))
+        return F.struct(F.greatest(a["reach"], x["x"]["end"]).alias("reach"), run.alias("run"), done.alias("done"))
+
+    runs = F.aggregate(placed, F.struct(F.lit(0).alias("reach"), none.alias("run"), F.filter(F.array(none), lambda x: F.lit(False)).alias("done")), sweep, lambda a: F.concat(a["done"], F.array(a["run"])))
+
+    def admit(kept: Column, x: Column) -> Column:
+        clash = F.exists(kept, lambda y: (x["x"]["start"] < y["x"]["end"]) & (y["x"]["start"] < x["x"]["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    return F.aggregate(spans, first, step)
+    in_order = lambda r: F.array_sort(r, lambda p, q: p["i"] - q["i"])
+    kept = F.flatten(F.transform(runs, lambda r: F.when(F.size(r) > 1, F.aggregate(in_order(r), F.filter(r, lambda x: F.lit(False)), admit)).otherwise(r)))
+    return F.transform(in_order(kept), lambda x: x["x"])
 
 
 def detect_spans(df: DataFrame, text: str, rules: list[Rule], out: str = "spans") -> DataFrame:

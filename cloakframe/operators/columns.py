@@ -35,7 +35,7 @@ def infer_columns(segments: DataFrame, language: str = "en", sample_rows: int =
     data = segments.where((F.col("row") > 0) & (F.col("row") <= sample_rows))
     total = data.groupBy(*sheet).agg(F.count_distinct("row").alias("sample_total"))
     found = detect_spans(data.where("text <> ''"), "text", rules_for(language))
-    spans = found.select(*sheet, "row", "col", F.char_length("text").alias("n"), F.explode("spans").alias("x"))
+    spans = found.select(*sheet, "row", "col", F.char_length("text").alias("n"), F.explode_outer("spans").alias("x")).where("x is not null")
     by_type = spans.groupBy(*sheet, "row", "col", "n", "x.type").agg(F.sum(F.col("x.end") - F.col("x.start")).alias("covered"))
     cells = by_type.groupBy(*sheet, "row", "col", "n").agg(F.sum("covered").alias("all"), F.min_by("type", F.struct(-F.col("covered"), _type_rank(F.col("type")))).alias("type")).where("all * 2 >= n")
     votes = cells.groupBy(*sheet, "col", "type").agg(F.count(F.lit(1)).alias("hits"))

@@ -37,7 +37,8 @@ def segments_of_table(df: DataFrame, row: Column, file_id: str, columns: list[st
 def detect_patterns(segments: DataFrame, language: str = "en", enabled: list[str] | None = None) -> DataFrame:
     """Items of the pattern engine; ord keeps their order in a segment (rule, then position)."""
     given = spread(segments.where("text is not null and text <> ''").select(*KEYS, "text"))
-    found = detect_spans(given, "text", rules_for(language)).select(*KEYS, F.posexplode("spans").alias("ord", "x"))
+    # an inner explode would push a filter on the spans below them, and all would be worked out three times
+    found = detect_spans(given, "text", rules_for(language)).select(*KEYS, F.posexplode_outer("spans").alias("ord", "x")).where("x is not null")
     items = found.select(*KEYS, "ord", "x.start", "x.end", "x.text", "x.type", F.lit("Regex").alias("source"), F.lit(PATTERN_CONFIDENCE).alias("confidence"))
     return items if enabled is None else items.where(F.col("type").isin(enabled))
 

@@ -6,13 +6,12 @@ ones match the lower-cased text and show the original at the same characters.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloakframe.functions.spans import find_literal
 from cloakframe.operators.detect import KEYS
+from cloakframe.operators.search import find_literals
 
 #: Built-in entries by type; those of FUZZY match without case.
 BUILTIN = {
@@ -23,9 +22,9 @@ BUILTIN = {
     "en": {
         "OrgName": ["Inc.", "Corp.", "Corporation", "LLC", "Ltd.", "Limited", "Holdings", "Foundation", "Association", "University", "Hospital", "Bank of"],
         "Address": [
-            *["New York", "Los Angeles", "Chicago", "Phoenix", "Philadelphia", "San Antonio", "San Diego", "San Francisco", "Seattle", "Denver", "Nashville", "London", "Edinburgh"],
-            *["California", "Texas", "Florida", "Illinois", "Pennsylvania", "Michigan", "Massachusetts"],
-        ],
+            "New York", "Los Angeles", "Chicago", "Phoenix", "Philadelphia", "San Antonio", "San Diego", "San Francisco", "Seattle", "Denver",
+            "Nashville", "London", "Edinburgh", "California", "Texas", "Florida", "Illinois", "Pennsylvania", "Michigan", "Massachusetts",
+        ],
         "Ssn": ["Social Security"],
         "DriversLicense": ["Driver's License", "Drivers License"],
         "Passport": ["Passport No", "Passport Number"],
@@ -44,40 +43,41 @@ def builtin_entries(spark: SparkSession, language: str, first_idx: int = 0) -> D
     return spark.createDataFrame(rows, ENTRY)
 
 
-#: Entries that go into one pass over the texts; larger dictionaries take a pass for each block.
-BLOCK_ENTRIES = 2000
-
-
-def detect_dictionary(segments: DataFrame, entries: DataFrame, language: str | None = None, block: int = BLOCK_ENTRIES) -> DataFrame:
-    """Items of all entries (for a language: those of it and those of none).
+def detect_dictionary(segments: DataFrame, entries: DataFrame, language: str | None = None) -> DataFrame:
+    """Items of all entries (for a language: those of it and those of none); ord follows the entries' order.
 
-    A block of entries goes as one array into one expression over each text, so texts are not
-    joined with entries, and what is broadcast has a bound.  ord follows the entries' order.
+    Entries stay a table: places come from a search by hashes (see ``search``) and are joined with the
+    entries that look so.  Places of one entry in one text don't overlap each other.
     """
-    chosen = entries.where("text is not null and text <> ''")
+    chosen = entries.where("text is not null and text <> ''").select("entry_idx", F.col("text").alias("entry"), "type", "match_mode", "language")
     if language is not None:
         chosen = chosen.where(F.col("language").isNull() | (F.col("language") == language))
-    blocks = max(1, -(-chosen.count() // block))
-    found = [_detect_block(segments, chosen.where(F.pmod(F.hash("text", "entry_idx"), F.lit(blocks)) == k)) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _detect_block(segments: DataFrame, chosen: DataFrame) -> DataFrame:
-    packed = chosen.select(F.struct("entry_idx", "text", "type", "match_mode").alias("e")).agg(F.array_sort(F.collect_list("e")).alias("entries"))
-    texts = segments.where("text is not null and text <> ''").crossJoin(F.broadcast(packed))
-
-    def spans(e):
-        fuzzy = e["match_mode"] == "Fuzzy"
-        text, literal = F.when(fuzzy, F.lower("text")).otherwise(F.col("text")), F.when(fuzzy, F.lower(e["text"])).otherwise(e["text"])
-        return F.transform(
-            find_literal(text, literal),
-            lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]).alias("text"), e["type"].alias("type"), e["entry_idx"].alias("entry_idx")),
-        )
-
-    present = F.filter("entries", lambda e: F.contains(F.lower("text"), F.lower(e["text"])))
-    found = texts.select(*KEYS, F.explode(F.flatten(F.transform(present, spans))).alias("x"))
-    order = F.col("x.entry_idx").cast("long") * (1 << 31) + F.col("x.start")
-    return found.select(*KEYS, order.alias("ord"), "x.start", "x.end", "x.text", "x.type", F.lit("Dict").alias("source"), F.lit(1.0).alias("confidence"), "x.entry_idx")
+    fuzzy = F.coalesce(F.col("match_mode") == "Fuzzy", F.lit(False))
+    looks = chosen.select("entry_idx", "type", F.when(fuzzy, F.lower("entry")).otherwise(F.col("entry")).alias("look"), fuzzy.alias("fuzzy"))
+    given = segments.where("text is not null and text <> ''").select(*KEYS, "text")
+    parts = []
+    for loose, text in ((False, F.col("text")), (True, F.lower("text"))):
+        own = looks.where(F.col("fuzzy") == loose)
+        found = find_literals(given.withColumn("__find", text), KEYS, "__find", own, "text" if loose else None)
+        parts.append(apart(found).join(own, "look"))
+    order = F.col("entry_idx").cast("long") * (1 << 31) + F.col("start")
+    return parts[0].unionByName(parts[1]).select(*KEYS, order.alias("ord"), "start", "end", F.col("shown").alias("text"), "type", F.lit("Dict").alias("source"), F.lit(1.0).alias("confidence"), "entry_idx")
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """Places of one literal without those that overlap the one kept before, from the left."""
+    near = F.lag("end").over(W.partitionBy(*KEYS, "look").orderBy("start"))
+    marked = found.withColumn("__new", F.coalesce(F.col("start") >= near, F.lit(True)).cast("int"))
+    # places of a chain overlap their neighbours: only chains of several are folded
+    chain = marked.withColumn("__chain", F.sum("__new").over(W.partitionBy(*KEYS, "look").orderBy("start")))
+    lists = chain.groupBy(*KEYS, "look", "__chain").agg(F.array_sort(F.collect_list(F.struct("start", "end", "shown"))).alias("all"))
+    first = F.struct(F.lit(0).alias("at"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+
+    kept = F.when(F.size("all") > 1, F.aggregate("all", first, step, lambda a: a["kept"])).otherwise(F.col("all"))
+    return lists.select(*KEYS, "look", F.explode_outer(kept).alias("x")).where("x is not null").select(*KEYS, "look", "x.start", "x.end", "x.shown")
 
 
 def upsert_entries(entries: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloakframe.functions.spans import no_overlap
 from cloakframe.operators.detect import KEYS, SOURCE_RANK
 
 FIELDS = ["start", "end", "text", "type", "source", "confidence"]
@@ -21,19 +21,25 @@ def _rank():
 def merge_no_overlap(items: DataFrame) -> DataFrame:
     """One list for each segment: pattern items all stay, then dictionary, then entity items.
 
-    An item that overlaps one already in the list is dropped; a dropped one blocks nothing.
+    An item that overlaps one already in the list is dropped; a dropped one blocks nothing.  Items are
+    swept by their starts: a run of items that reach into one another is decided on its own, so the
+    work follows the items, not their square, and a segment with very many is no array.
     """
-    ranked = items.withColumn("rank", _rank())
-    lists = ranked.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("rank", "ord", *FIELDS))).alias("all"))
+    by = W.partitionBy(*KEYS).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    opened = items.withColumn("rank", _rank()).withColumn("__new", F.when(F.col("start") >= reach, 1).when(reach.isNull(), 1).otherwise(0))
+    runs = opened.withColumn("__run", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    lists = runs.groupBy(*KEYS, "__run").agg(F.array_sort(F.collect_list(F.struct("rank", "ord", *FIELDS))).alias("all"))
     base = F.filter("all", lambda x: x["rank"] == 0)
 
     def admit(kept, x):
         clash = F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    merged = F.aggregate(F.filter("all", lambda x: x["rank"] > 0), base, admit)
-    out = lists.select(*KEYS, F.posexplode(merged).alias("ord", "x"))
-    return out.select(*KEYS, "ord", *[f"x.{f}" for f in FIELDS])
+    merged = F.when(F.size("all") > 1, F.aggregate(F.filter("all", lambda x: x["rank"] > 0), base, admit)).otherwise(F.col("all"))
+    kept = lists.select(*KEYS, F.explode_outer(merged).alias("x")).where("x is not null")
+    place = F.row_number().over(W.partitionBy(*KEYS).orderBy("x.rank", "x.ord")) - 1
+    return kept.select(*KEYS, place.alias("ord"), *[f"x.{f}" for f in FIELDS])
 
 
 def append_items(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.rewrite import normalize_width, splice
 from cloakframe.operators.detect import KEYS
-
-#: Patterns in one automaton; more are searched in blocks.
-BLOCK = 200_000
-
+from cloakframe.operators.search import find_literals
+from cloakframe.storage import keep
 
 def reverse_mappings(mappings: DataFrame) -> DataFrame:
     """(pattern, original, type) of reversible mappings; of equal patterns the first (rec, idx) counts.
@@ -25,48 +20,14 @@ def reverse_mappings(mappings: DataFrame) -> DataFrame:
 
 
 def find_patterns(segments: DataFrame, patterns: DataFrame, normalized: bool = False) -> DataFrame:
-    """All places (overlapping ones too) of all patterns, by an Aho-Corasick automaton for each block."""
-    import ahocorasick
-
-    def place(automaton):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = automaton.value
-            for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    for end, (n, pattern, original) in tree.iter(row["__find"] or ""):
-                        out.append({**{k: row[k] for k in KEYS}, "start": end + 1 - n, "end": end + 1, "pattern": pattern, "original": original})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-        return run
-
-    schema = pa.schema([("file_id", pa.string()), ("sheet_index", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("original", pa.string())])
-    ddl = "file_id string, sheet_index int, row int, col int, start int, end int, pattern string, original string"
-    text = normalize_width(F.col("text")) if normalized else F.col("text")
-    given = segments.select(*KEYS, text.alias("__find"))
-    found, tree, size = None, ahocorasick.Automaton(), 0
-    column = normalize_width(F.col("pattern")) if normalized else F.col("pattern")
+    """All places (overlapping ones too) of all patterns; patterns stay a table (see ``search``)."""
+    form = (lambda c: normalize_width(F.col(c))) if normalized else F.col
     # of patterns with one form the first counts: in fuzzy search two may look alike
     order = F.struct(*[c for c in ("rec", "idx") if c in patterns.columns], "pattern", "original")
-    alike = patterns.select(column.alias("look"), order.alias("at"), "pattern", "original").groupBy("look").agg(F.min_by(F.struct("pattern", "original"), "at").alias("x"))
-    rows = alike.select("look", "x.pattern", "x.original").toLocalIterator()
-
-    def search(tree) -> DataFrame:
-        tree.make_automaton()
-        return given.mapInArrow(place(segments.sparkSession.sparkContext.broadcast(tree)), ddl)
-
-    for r in rows:
-        tree.add_word(r.look, (len(r.look), r.pattern, r.original))
-        size += 1
-        if size == BLOCK:
-            part = search(tree)
-            found = part if found is None else found.unionByName(part)
-            tree, size = ahocorasick.Automaton(), 0
-    if size:
-        part = search(tree)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else segments.sparkSession.createDataFrame([], ddl)
+    alike = patterns.select(form("pattern").alias("look"), order.alias("at"), "pattern", "original").groupBy("look").agg(F.min_by(F.struct("pattern", "original"), "at").alias("x"))
+    alike = keep(alike, "patterns")
+    found = find_literals(segments.select(*KEYS, form("text").alias("__find")), KEYS, "__find", alike)
+    return found.join(alike, "look").select(*KEYS, "start", "end", "x.pattern", "x.original")
 
 
 def leftmost_longest(found: DataFrame) -> DataFrame:
@@ -89,7 +50,7 @@ def restore(segments: DataFrame, patterns: DataFrame, fuzzy: bool = False) -> tu
     found = find_patterns(segments, patterns)
     chosen = leftmost_longest(found)
     if fuzzy:
-        exact = chosen.select(*KEYS, F.explode("hits").alias("h")).select(*KEYS, F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.pattern").alias("pattern"), F.col("h.original").alias("original"))
+        exact = chosen.select(*KEYS, F.explode_outer("hits").alias("h")).where("h is not null").select(*KEYS, F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.pattern").alias("pattern"), F.col("h.original").alias("original"))
         loose = find_patterns(segments, patterns, normalized=True).alias("l")
         e = exact.select(*[F.col(k).alias(f"e_{k}") for k in KEYS], F.col("start").alias("s"), F.col("end").alias("e"))
         cond = (F.col("l.start") < F.col("e")) & (F.col("s") < F.col("l.end"))
@@ -106,7 +67,7 @@ def restore(segments: DataFrame, patterns: DataFrame, fuzzy: bool = False) -> tu
 
     empty = F.expr("cast(array() as array<struct<orig_start:int,new_start:int,pattern:string,original:string>>)")
     moved = F.aggregate("hits", F.struct(F.lit(0).alias("d"), empty.alias("out")), shift, lambda a: a["out"])
-    positions = chosen.select(*KEYS, F.explode(moved).alias("p")).select(*KEYS, "p.*")
+    positions = chosen.select(*KEYS, F.explode_outer(moved).alias("p")).where("p is not null").select(*KEYS, "p.*")
     return restored, positions
 
 

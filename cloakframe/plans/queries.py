@@ -55,7 +55,7 @@ RULE_QUERIES = {"spans_email": COMMON[0], "spans_ipv4": COMMON[1], "spans_ipv6":
 def _rule_query(rule):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = detect.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-        found = docs.select("doc_id", F.explode(spans.candidates(F.col("text"), rule, 0)).alias("x"))
+        found = docs.select("doc_id", F.explode_outer(spans.candidates(F.col("text"), rule, 0)).alias("x")).where("x is not null")
         return found.select("doc_id", F.col("x.start").cast("long").alias("start_pos"), F.col("x.end").cast("long").alias("end_pos"), F.col("x.text").alias("text"))
 
     return run

@@ -21,7 +21,7 @@ def spans_on_stream(stream: DataFrame, text: str = "text", language: str = "en")
 
 def windowed_counts(stream: DataFrame, time: str, text: str = "text", language: str = "en", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Items by type and time window; rows later than ``late`` are left out."""
-    found = spans_on_stream(stream.withWatermark(time, late), text, language).select(time, F.explode("spans").alias("x"))
+    found = spans_on_stream(stream.withWatermark(time, late), text, language).select(time, F.explode_outer("spans").alias("x")).where("x is not null")
     return found.groupBy(F.window(time, width), F.col("x.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -91,13 +91,12 @@ def test_workspace_keeps_values(spark, tmp_path):
     assert w.read("mappings").count() == 0
 
 
-def test_large_dictionary_in_blocks(spark):
+def test_dictionary_of_many_lengths(spark):
     s = segments(spark, "word7 and word19 aaaa", "Word3")
     rows = [(k, f"word{k}", "T", "Exact" if k % 2 else "Fuzzy", None, None) for k in range(30)] + [(30, "aa", "T", "Exact", None, None), (31, "WORD3", "T", "Fuzzy", None, None)]
     entries = spark.createDataFrame(rows, dictionary.ENTRY)
-    got = [sorted((r.row, r.ord, r.start, r.end, r.text) for r in dictionary.detect_dictionary(s, entries, block=b).collect()) for b in (1000, 7)]
-    assert got[0] == got[1]
-    assert [(x[0], *x[2:]) for x in got[0]] == [(0, 10, 15, "word1"), (0, 0, 5, "word7"), (0, 10, 16, "word19"), (0, 17, 19, "aa"), (0, 19, 21, "aa"), (1, 0, 5, "Word3")]
+    got = sorted((r.row, r.ord, r.start, r.end, r.text) for r in dictionary.detect_dictionary(s, entries).collect())
+    assert [(x[0], *x[2:]) for x in got] == [(0, 10, 15, "word1"), (0, 0, 5, "word7"), (0, 10, 16, "word19"), (0, 17, 19, "aa"), (0, 19, 21, "aa"), (1, 0, 5, "Word3")]
 
 
 def test_report_and_degraded_entities(spark):

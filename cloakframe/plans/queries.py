@@ -1,7 +1,7 @@
 """The library's queries, each with DuckDB SQL that gives the same rows.
 
-Each entry is (spark, sf_dir) -> DataFrame over whole tables; small literal tables stand in for
-inputs that the tables don't have (Chinese text, tokens of models, page objects).
+Each entry is (spark, sf_dir) -> DataFrame over whole tables; inputs that the tables don't have (Chinese
+text, tokens of models, page objects) are made from their rows.
 """
 
 from __future__ import annotations
@@ -47,14 +47,25 @@ def out_items(items: DataFrame) -> DataFrame:
     return items.select(F.col("file_id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "text", "type")
 
 
+def picked(values: list[str], key: str = "c_custkey") -> str:
+    """SQL of both engines: the value whose place is key modulo their number; {} is four digits of the key."""
+    digits = f"lpad(cast({key} % 10000 as string), 4, '0')"
+
+    def one(value: str) -> str:
+        parts = [sql.quoted(x) for x in value.split("{}")]
+        return parts[0] if len(parts) == 1 else "concat(" + f", {digits}, ".join(parts) + ")"
+
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {one(v)}" for k, v in enumerate(values)) + " END"
+
+
 # ---- pattern engine -------------------------------------------------------------------------
 
 RULE_QUERIES = {"spans_email": COMMON[0], "spans_ipv4": COMMON[1], "spans_ipv6": COMMON[2], "spans_us_phone": EN[3], "spans_credit_card_luhn": EN[2], "spans_zip": EN[8], "spans_id_card": ZH[0], "spans_bank_card": ZH[2]}
 
 
-def _rule_query(rule):
+def _rule_query(rule, source=lambda spark, sf_dir: table(spark, sf_dir, "documents")):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = detect.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        docs = detect.spread(source(spark, sf_dir).select("doc_id", "text"))
         found = docs.select("doc_id", F.explode_outer(spans.candidates(F.col("text"), rule, 0)).alias("x")).where("x is not null")
         return found.select("doc_id", F.col("x.start").cast("long").alias("start_pos"), F.col("x.end").cast("long").alias("end_pos"), F.col("x.text").alias("text"))
 
@@ -62,6 +73,8 @@ def _rule_query(rule):
 
 
 for _name, _rule in RULE_QUERIES.items():
+    if _name in ("spans_ipv6", "spans_id_card"):  # the documents hold none: see made_texts
+        continue
     query(_name, f"WITH {SRC} SELECT id AS doc_id, s::BIGINT AS start_pos, e::BIGINT AS end_pos, m AS text FROM ({sql.rule_spans('src', _rule)})")(_rule_query(_rule))
 
 _EN_CTES, _EN_LAST = sql.detect("src", rules_for("en"))
@@ -81,30 +94,37 @@ def detect_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ZH_TEXTS = [
-    (1, "手机13812345678，身份证11010519491231002X，邮箱a.b@c.com"),
-    (2, "卡号6222021234567890123 电话010-12345678 或400-123-4567"),
-    (3, "车牌京A·12345和粤B12345，信用代码91110000MA001234XY"),
-    (4, "号码138123456789不是手机，2001:db8::1是地址，1.2.3.400不是"),
-    (5, "无"),
-    (6, "京A12345京B54321 020-87654321 8001234567"),
+    "手机138{}5678，身份证1101051949123{}X，邮箱a{}.b@c.com",
+    "卡号622202{}567890123 电话010-1234{} 或400-{}-4567",
+    "车牌京A·1{}和粤B1{}，信用代码91110000MA00{}XY",
+    "号码1381234{}9不是手机，2001:db8::{}是地址，1.2.3.{}不是",
+    "无{}",
+    "京A1{}京B5{} 020-8765{} 800{}567",
 ]
 EN_TEXTS = [
-    (11, "SSN 123-45-6789, card 4111 1111 1111 1111 or 4111 1111 1111 1112, S012-3456-7890"),
-    (12, "Call (555) 123-4567 or +1 555.123.4567 or +44 161 496 0000"),
-    (13, "Passport AB123456, X 1234567, zip 12345-67890 and 90210, SW1A 1AA"),
-    (14, "GB29 NWBK 6016 1331 9268 19 is an IBAN, MORGA657054SM9IJ is a licence"),
-    (15, "fe80::1 and 2001:db8:0:0:0:0:2:1, 10.0.0.1, 999.1.1.1, x@y.z, me.you@some.org"),
+    "SSN 123-45-{}, card 4111 1111 1111 {} or 4111 1111 {} 1112, S012-{}-7890",
+    "Call (555) 123-{} or +1 555.123.{} or +44 161 496 {}",
+    "Passport AB12{}, X {}567, zip 1{}-67890 and 9{}, SW1A 1AA",
+    "GB29 NWBK {} 1331 9268 19 is an IBAN, MORGA65{}SM9IJ is a licence",
+    "fe80::1 and 2001:db8:0:0:0:0:2:{}, 10.0.0.1, {}.1.1.1, x{}@y.z, me.you@some.org",
 ]
-_FIX = f"src AS MATERIALIZED (SELECT * FROM {sql.values(ZH_TEXTS + EN_TEXTS, 'id, text')})"
+_MADE = picked(ZH_TEXTS + EN_TEXTS)
+_FIX = f"src AS MATERIALIZED (SELECT c_custkey AS id, {_MADE} AS text FROM customer)"
+
 
+def made_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each customer with digits of its key."""
+    return detect.segments_of_documents(table(spark, sf_dir, "customer").selectExpr("c_custkey doc_id", f"{_MADE} text"))
 
-def fixture(spark: SparkSession) -> DataFrame:
-    return detect.segments_of_documents(spark.createDataFrame(ZH_TEXTS + EN_TEXTS, "doc_id long, text string"))
 
+for _name in ("spans_ipv6", "spans_id_card"):
+    query(_name, f"WITH {_FIX} SELECT id AS doc_id, s::BIGINT AS start_pos, e::BIGINT AS end_pos, m AS text FROM ({sql.rule_spans('src', RULE_QUERIES[_name])})")(
+        _rule_query(RULE_QUERIES[_name], lambda spark, sf_dir: made_texts(spark, sf_dir).select(F.col("file_id").cast("long").alias("doc_id"), "text"))
+    )
 
 for _lang in ("zh", "en"):
     _c, _l = sql.detect("src", rules_for(_lang))
-    query(f"detect_{_lang}_fixture", f"WITH {_FIX}, {_c} SELECT id::BIGINT AS doc_id, s::BIGINT AS start_pos, e::BIGINT AS end_pos, m AS text, type FROM {_l}")(lambda spark, sf_dir, lang=_lang: out_items(detect.detect_patterns(fixture(spark), lang)))
+    query(f"detect_{_lang}_fixture", f"WITH {_FIX}, {_c} SELECT id::BIGINT AS doc_id, s::BIGINT AS start_pos, e::BIGINT AS end_pos, m AS text, type FROM {_l}")(lambda spark, sf_dir, lang=_lang: out_items(detect.detect_patterns(made_texts(spark, sf_dir), lang)))
 
 
 @query("summary_by_type", f"WITH {SRC}, {_EN_CTES} SELECT type, count(*) AS n FROM {_EN_LAST} GROUP BY ROLLUP (type)")
@@ -218,20 +238,20 @@ def mask_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GENERAL_ZH = [
-    ("Address", "广东省深圳市南山区", "广东省"), ("Address", "香港特别行政区中环", "香港特别行政区"), ("Address", "内蒙古自治区包头市", "内蒙古自治区"), ("Address", "深圳市南山区", "深圳市"),
+    ("Address", "广东省深圳市{}南山区", "广东省"), ("Address", "香港特别行政区中环", "香港特别行政区"), ("Address", "内蒙古自治区包头市", "内蒙古自治区"), ("Address", "深圳市南山区", "深圳市"),
     ("Address", "北京市", "某市"), ("Address", "平谷区", "某区"), ("Address", "和平街道", "某街道"), ("Address", "中关村", "某村"), ("Address", "天涯海角", "某地"),
     ("Title", "副总经理", "高级管理人员"), ("Title", "技术总监", "中级管理人员"), ("Title", "项目经理", "基层管理人员"), ("Title", "软件工程师", "技术人员"), ("Title", "行政助理", "一般职员"), ("Title", "保安", "职员"),
-    ("IdCard", "11010519491231002X", "1949年出生"), ("IdCard", "123", "****"), ("Phone", "13812345678", "138********"), ("Phone", "12", "***"), ("PersonName", "张三", "张**"), ("PersonName", "张", "**"), ("Ssn", "123-45-6789", "1**"),
+    ("IdCard", "1101051949123{}X", "1949年出生"), ("IdCard", "123", "****"), ("Phone", "1381234{}", "138********"), ("Phone", "12", "***"), ("PersonName", "张三", "张**"), ("PersonName", "张", "**"), ("Ssn", "123-45-6789", "1**"),
 ]
 GENERAL_EN = [
-    ("Address", "12 Oak St, Springfield, IL 62701", "Springfield, IL 62701"), ("Address", "Springfield", "Springfield"), ("Title", "Vice President", "Director-Level"), ("Title", "Team Lead", "Management"),
+    ("Address", "{} Oak St, Springfield, IL 6{}", "Springfield, IL 6{}"), ("Address", "Springfield", "Springfield"), ("Title", "Vice President", "Director-Level"), ("Title", "Team Lead", "Management"),
     ("Title", "Chief Risk Officer", "Senior Executive"), ("Title", "Director", "Director-Level"), ("Title", "Lead Counsel", "Management"), ("Title", "Software Engineer", "Technical Staff"), ("Title", "Legal Assistant", "Staff"), ("Title", "Intern", "Employee"),
-    ("Ssn", "123-45-6789", "***-**-6789"), ("Ssn", "123", "***-**-****"), ("ZipCode", "90210-1234", "902**"), ("ZipCode", "90", "***"), ("UkPostcode", "SW1A 1AA", "SW1A ***"), ("UkPostcode", "SW1A1AA", "SW1A ***"), ("UkPostcode", "AB1", "*** ***"),
-    ("UsPhone", "(555) 123-4567", "(555) 1*******"), ("UkPhone", "020 79", "***"), ("OrgName", "Acme", "A**"),
+    ("Ssn", "123-45-{}", "***-**-{}"), ("Ssn", "123", "***-**-****"), ("ZipCode", "90210-{}", "902**"), ("ZipCode", "90", "***"), ("UkPostcode", "SW1A 1AA", "SW1A ***"), ("UkPostcode", "SW1A1AA", "SW1A ***"), ("UkPostcode", "AB1", "*** ***"),
+    ("UsPhone", "(555) 123-{}", "(555) 1*******"), ("UkPhone", "020 79", "***"), ("OrgName", "Acme {}", "A**"),
 ]
 for _lang, _rows in (("zh", GENERAL_ZH), ("en", GENERAL_EN)):
-    query(f"generalize_{_lang}", f"SELECT type, text, out FROM {sql.values(_rows, 'type, text, out')}")(
-        lambda spark, sf_dir, lang=_lang, rows=_rows: spark.createDataFrame([r[:2] for r in rows], "type string, text string").withColumn("out", rewrite.generalize(F.col("text"), F.col("type"), lang))
+    query(f"generalize_{_lang}", f"SELECT c_custkey, {picked([r[0] for r in _rows])} AS type, {picked([r[2] for r in _rows])} AS out FROM customer")(
+        lambda spark, sf_dir, lang=_lang, rows=_rows: table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{picked([r[0] for r in rows])} type", f"{picked([r[1] for r in rows])} text").select("c_custkey", "type", rewrite.generalize(F.col("text"), F.col("type"), lang).alias("out"))
     )
 
 
@@ -306,9 +326,14 @@ ZH_NAMES = [
 ]
 
 
-@query("replace_styles_zh", f"SELECT id::BIGINT AS id, mou, ordinal FROM {sql.values(ZH_NAMES, 'id, type, text, mou, ordinal')}")
+_ZH_TYPES, _ZH_TEXTS = picked([r[1] for r in ZH_NAMES]), picked([r[2] for r in ZH_NAMES])
+_ZH_STYLES = " UNION ALL ".join(f"SELECT {sql.quoted(r[2])} AS text, {sql.quoted(r[3])} AS mou, {sql.quoted(r[4])} AS ordinal" for r in ZH_NAMES if r[0] != 4)
+
+
+@query("replace_styles_zh", f"WITH styles AS ({_ZH_STYLES}) SELECT c_custkey AS id, mou, ordinal FROM customer JOIN styles ON styles.text = {_ZH_TEXTS}")
 def replace_styles_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(f"{i:03d}", 0, 0, 0, t, k) for i, k, t, _, _ in ZH_NAMES], "file_id string, sheet_index int, row int, col int, text string, type string")
+    """A name, firm, place or title for each customer; files are in the order of the customers, so names number themselves as listed."""
+    rows = table(spark, sf_dir, "customer").selectExpr("lpad(cast(c_custkey as string), 12, '0') file_id", "0 sheet_index", "0 row", "0 col", f"{_ZH_TEXTS} text", f"{_ZH_TYPES} type")
     items = rows.select("file_id", "sheet_index", "row", "col", F.lit(0).alias("ord"), F.lit(0).alias("start"), F.char_length("text").alias("end"), "text", "type", F.lit("Manual").alias("source"), F.lit(1.0).alias("confidence"))
     out = []
     for style in (MOU, ORDINAL):
@@ -449,17 +474,24 @@ RESTORE_ROWS = [
 PATTERNS = [("张某", "张三", "PersonName"), ("张某二", "李四", "PersonName"), ("John Doe", "Al Kay", "PersonName"), ("John Doe 2", "Bob Ray", "PersonName"), ("(甲)公司", "Y", "OrgName"), ("（甲）公司", "X", "OrgName")]
 
 
-@query("restore_fuzzy", f"SELECT id::BIGINT AS id, out AS text FROM {sql.values(RESTORE_ROWS, 'id, text, out')}")
+_POSITIONS = [(1, 0, 0, "李四"), (1, 5, 4, "张三"), (2, 5, 5, "Bob Ray"), (2, 21, 18, "Al Kay"), (5, 14, 14, "Al Kay"), (6, 0, 0, "X"), (6, 6, 2, "Y")]
+_PLACES = {r[0]: k for k, r in enumerate(RESTORE_ROWS)}
+
+
+def restore_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the texts for each customer, behind its key."""
+    return detect.segments_of_documents(table(spark, sf_dir, "customer").selectExpr("c_custkey doc_id", f"{picked(['{} ' + r[1] for r in RESTORE_ROWS])} text"))
+
+
+@query("restore_fuzzy", f"SELECT c_custkey AS id, {picked(['{} ' + r[2] for r in RESTORE_ROWS])} AS text FROM customer")
 def restore_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = detect.segments_of_documents(spark.createDataFrame([r[:2] for r in RESTORE_ROWS], "doc_id long, text string"))
-    back, _ = restore.restore(segments, spark.createDataFrame(PATTERNS, "pattern string, original string, type string"), fuzzy=True)
+    back, _ = restore.restore(restore_texts(spark, sf_dir), spark.createDataFrame(PATTERNS, "pattern string, original string, type string"), fuzzy=True)
     return back.select(F.col("file_id").cast("long").alias("id"), "text")
 
 
-@query("restore_positions", f"SELECT id::BIGINT AS id, a::BIGINT AS orig_start, b::BIGINT AS new_start, original FROM {sql.values([(1, 0, 0, '李四'), (1, 5, 4, '张三'), (2, 5, 5, 'Bob Ray'), (2, 21, 18, 'Al Kay'), (5, 14, 14, 'Al Kay'), (6, 0, 0, 'X'), (6, 6, 2, 'Y')], 'id, a, b, original')}")
+@query("restore_positions", f"SELECT c_custkey AS id, a + 5::BIGINT AS orig_start, b + 5::BIGINT AS new_start, original FROM customer JOIN {sql.values([(_PLACES[i], a, b, o) for i, a, b, o in _POSITIONS], 'place, a, b, original')} ON place = c_custkey % {len(RESTORE_ROWS)}")
 def restore_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = detect.segments_of_documents(spark.createDataFrame([r[:2] for r in RESTORE_ROWS], "doc_id long, text string"))
-    _, positions = restore.restore(segments, spark.createDataFrame(PATTERNS, "pattern string, original string, type string"))
+    _, positions = restore.restore(restore_texts(spark, sf_dir), spark.createDataFrame(PATTERNS, "pattern string, original string, type string"))
     return positions.select(F.col("file_id").cast("long").alias("id"), F.col("orig_start").cast("long").alias("orig_start"), F.col("new_start").cast("long").alias("new_start"), "original")
 
 
@@ -514,13 +546,18 @@ def highlight_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.shifted_positions(items).select(F.col("file_id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start_pos"), F.col("new_start").cast("long").alias("new_start"), F.col("new_end").cast("long").alias("new_end"))
 
 
-@query("highlight_segments", f"WITH {SRC}, {_EN_CTES} SELECT id AS doc_id, (2 * count(*) FILTER (type IS NOT NULL) + 1)::BIGINT AS most, min(text) AS text FROM src LEFT JOIN (SELECT id, type FROM {_EN_LAST}) USING (id) WHERE text <> '' GROUP BY id")
+@query(
+    "highlight_segments",
+    f"""WITH {SRC}, {_EN_CTES}, gaps AS (SELECT id, s, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS p FROM {_EN_LAST}), tails AS (SELECT id, text, coalesce(max(e), 0) AS p FROM src LEFT JOIN {_EN_LAST} USING (id) GROUP BY ALL),
+pieces AS (SELECT id, s AS p, m AS piece, type FROM {_EN_LAST} UNION ALL SELECT id, p, substr(text, p + 1, s - p), NULL FROM gaps JOIN src USING (id) WHERE s > p UNION ALL SELECT id, p, substr(text, p + 1), NULL FROM tails WHERE length(text) > p)
+SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY p) - 1)::INT AS place, piece, type FROM pieces""",
+)
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces put together are the text, and there are at most two for each item and one more."""
+    """Every piece in its place, with the type of those that are marked."""
     docs = table(spark, sf_dir, "documents").where("text <> ''")
     d = spans.detect_spans(detect.spread(docs.select("doc_id", "text")), "text", rules_for("en"), "x")
-    pieces = d.select("doc_id", "x", views.highlight_segments(F.col("text"), F.col("x")).alias("p"))
-    return pieces.select("doc_id", F.greatest(2 * F.size("x") + 1, F.size("p")).cast("long").alias("most"), F.array_join(F.transform("p", lambda y: y["text"]), "").alias("text"))
+    pieces = d.select("doc_id", F.posexplode_outer(views.highlight_segments(F.col("text"), F.col("x"))).alias("place", "p")).where("p is not null")
+    return pieces.select("doc_id", "place", F.col("p.text").alias("piece"), "p.type")
 
 
 # ---- entities -------------------------------------------------------------------------------
@@ -536,9 +573,19 @@ DECODED = {
     "bio": [(1, "PER", 0, 4, 0.8), (1, "ORG", 7, 9, 0.6), (3, "LOC", 0, 3, 0.5), (3, "LOC", 3, 5, 0.7)],
     "io": [(1, "PER", 2, 4, 0.7), (1, "ORG", 5, 7, 0.8), (2, "LOC", 0, 5, 0.6), (2, "PER", 5, 6, 0.8), (3, "PER", 5, 6, 0.8), (3, "LOC", 6, 8, 0.9)],
 }
+
+
+def _decoded(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
+    """One of the token lists for each vector, moved on by its number, but for tokens without a place."""
+    moved = "transform(tokens, t -> if(t.start = 0 and t.end = 0, t, named_struct('label', t.label, 'conf', t.conf, 'start', cast(t.start + vec_id % 9 as int), 'end', cast(t.end + vec_id % 9 as int)))) tokens"
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id % 4 + 1 id").join(F.broadcast(spark.createDataFrame(TOKENS, TOKEN_SCHEMA)), "id").selectExpr("vec_id", moved)
+    found = v.select("vec_id", F.explode_outer(entities.decode(F.col("tokens"), scheme)).alias("x")).where("x is not null")
+    return found.select("vec_id", "x.label", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.round("x.conf", 9).alias("conf"))
+
+
 for _scheme, _rows in DECODED.items():
-    query(f"decode_{_scheme}", f"SELECT id::BIGINT AS id, label, s::INT AS start_pos, e::INT AS end_pos, c::DOUBLE AS conf FROM {sql.values(_rows, 'id, label, s, e, c')}")(
-        lambda spark, sf_dir, scheme=_scheme: spark.createDataFrame(TOKENS, TOKEN_SCHEMA).select("id", F.explode(entities.decode(F.col("tokens"), scheme)).alias("x")).select("id", "x.label", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.round("x.conf", 9).alias("conf"))
+    query(f"decode_{_scheme}", f"SELECT vec_id, t.label, (s + vec_id % 9)::INT AS start_pos, (e + vec_id % 9)::INT AS end_pos, c::DOUBLE AS conf FROM embeddings JOIN {sql.values(_rows, 'id, label, s, e, c')} ON id = vec_id % 4 + 1")(
+        lambda spark, sf_dir, scheme=_scheme: _decoded(spark, sf_dir, scheme)
     )
 
 
@@ -692,10 +739,13 @@ def whitelist_manual_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.without_first(whitelist, whitelist.where("c % 3 = 0")).select("idx")
 
 
-@query("strategies_allowed", "SELECT t AS type, k AS kind, CASE WHEN t = 'Address' THEN true ELSE k <> 'Generalize' END AS allowed FROM (SELECT unnest(['PersonName', 'OrgName', 'Title', 'Address', 'Phone', 'Custom:x']) AS t), (SELECT unnest(['Mask', 'Replace', 'Generalize']) AS k)")
+_SOME_TYPE, _SOME_KIND = picked(["PersonName", "OrgName", "Title", "Address", "Phone", "Custom:x{}"]), "CASE c_custkey % 21 % 3 WHEN 0 THEN 'Mask' WHEN 1 THEN 'Replace' ELSE 'Generalize' END"
+
+
+@query("strategies_allowed", f"SELECT c_custkey AS id, type = 'Address' OR kind <> 'Generalize' AS allowed FROM (SELECT c_custkey, {_SOME_TYPE} AS type, {_SOME_KIND} AS kind FROM customer)")
 def strategies_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(t, ["Mask", "Replace", "Generalize"]) for t in ("PersonName", "OrgName", "Title", "Address", "Phone", "Custom:x")], "type string, kinds array<string>")
-    return t.select("type", F.explode("kinds").alias("kind")).select("type", "kind", edits.is_allowed(F.col("type"), F.col("kind")).alias("allowed"))
+    t = table(spark, sf_dir, "customer").selectExpr("c_custkey id", f"{_SOME_TYPE} type", f"{_SOME_KIND} kind")
+    return t.select("id", edits.is_allowed(F.col("type"), F.col("kind")).alias("allowed"))
 
 
 @query("types_in_order", "SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'Custom' ELSE o_orderpriority END AS type, min(o_orderkey) AS place FROM orders GROUP BY 1")
@@ -720,10 +770,10 @@ def refresh_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.refresh_dictionary(old, new).select("id", "version")
 
 
-@query("restore_same_form", f"SELECT id::BIGINT AS id, text FROM {sql.values([(1, 'met First'), (2, 'met Second'), (3, 'met Third')], 'id, text')}")
+@query("restore_same_form", f"SELECT c_custkey AS id, {picked(['{} met First', '{} met Second', '{} met Third'])} AS text FROM customer")
 def restore_same_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two patterns that look alike once widths are narrowed: the first record's counts, whatever order the rows come in."""
-    segments = detect.segments_of_documents(spark.createDataFrame([(1, "met ＡＢ"), (2, "met AB"), (3, "met Cd")], "doc_id long, text string"))
+    segments = detect.segments_of_documents(table(spark, sf_dir, "customer").selectExpr("c_custkey doc_id", f"{picked(['{} met ＡＢ', '{} met AB', '{} met Cd'])} text"))
     mappings = spark.createDataFrame([("Second", "AB", 1, 0), ("Third", "Ｃｄ", 1, 1), ("First", "ＡＢ", 0, 0), ("Fourth", "Cｄ", 2, 0)], "original_text string, replaced_text string, rec int, idx int").withColumns({"strategy": F.lit("Replace"), "type": F.lit("PersonName")})
     back, _ = restore.restore(segments, restore.reverse_mappings(mappings).repartition(3, "original"), fuzzy=True)
     return back.select(F.col("file_id").cast("long").alias("id"), "text")

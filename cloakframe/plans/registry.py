@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cloakframe.plans import queries, queries_state
+from cloakframe.plans import queries, queries_sql, queries_state
 
-MODULES = [queries, queries_state]
+MODULES = [queries, queries_state, queries_sql]

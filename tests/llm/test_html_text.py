@@ -1,5 +1,8 @@
 import html
+import itertools
+import random
 import re
+import time
 
 from cloakframe.llm import html_text as m
 
@@ -96,8 +99,60 @@ def test_wrappers_by_form_class_and_header():
 
 
 def test_unmatched_tags_take_linear_time():
-    import time
-
     began = time.process_time()
     m.extract("<div>" * 30_000 + "<p>a" + "</i>" * 100_000)
     assert time.process_time() - began < 10
+
+
+def test_comments_are_never_content():
+    """Whatever their size, where they stand, and how they are marked up."""
+    paras, comments = "".join(f"<p>{para(i)}</p>" for i in range(2)), "".join(f"<p>{para(i)}</p>" for i in range(40, 60))
+    want = f"{para(0)}\n{para(1)}"
+    for tag, name in itertools.product(("div", "section", "ul"), ("class='comments'", "id='comments'", "class='post-comments open'", "id='disqus_thread'", "class='sidebar'", "class='cookie-banner'", "style='color:red;display: none'")):
+        block = f"<{tag} {name}>{comments}</{tag}>"
+        for page in (f"{paras}{block}", f"{block}{paras}", f"<article>{paras}{block}</article>", f"<main>{paras}{block}</main>", f"<div class='layout has-sidebar'><div>{paras}</div>{block}</div>"):
+            assert m.extract(f"<html><body>{page}</body></html>") == want, page[:80]
+
+
+def test_nothing_of_the_content_is_cut():
+    """Short first and last lines, and a heading and a table before the text, on pages without marks."""
+    body = "".join(f"<p>{para(i)} {para(i)}</p>" for i in range(4))
+    table = "<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr></table>"
+    for first, last in itertools.product(("<p>Short.</p>", f"<h2>Table</h2>{table}", "<p>By me</p><ul><li>one</li><li>two</li></ul>"), ("", "<p>Bye.</p><p>The author.</p>")):
+        inner = f"<h1>Title</h1>{first}{body}{last}"
+        want = "\n".join(x for x in re.split(r"\n+", re.sub(r"<[^>]*>", "\n", inner)) if x)
+        for page in (inner, f"<div>{inner}</div>", f"<div><a href=1>One</a> <a href=2>Two</a></div><div class='post'>{inner}</div><div><a href=3>Next</a></div>"):
+            assert m.extract(f"<body>{page}</body>") == want
+
+
+def test_layouts_against_known_text():
+    """Generated pages of eight layouts, without or with marks: the text that was put in is what comes out."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href='/{k}'>{word()}</a></li>" for k in range(n))
+    layouts = [
+        "<nav><ul>{menu}</ul></nav><div class='post'>{content}</div><footer><p>{small}</p></footer>",
+        "<div id='header'><ul>{menu}</ul></div><div id='content'>{content}</div><div id='sidebar'><p>{long}</p></div>",
+        "<header><p>{small}</p></header><main>{content}</main><aside><p>{long}</p></aside>",
+        "<ul>{menu}</ul><article>{content}</article><section class='comments'><p>{long}</p><p>{long}</p></section>",
+        "<table><tr><td class='menu'><ul>{menu}</ul></td><td>{content}</td></tr></table>",
+        "<div class='wrapper with-sidebar'><div class='inner'>{content}</div><div class='widget'><p>{long}</p></div></div><div class='cookie-notice'><p>{long}</p></div>",
+        "<form id='f'><div role='navigation'><ul>{menu}</ul></div><div>{content}</div></form><div class='footer'><p>{small}</p></div>",
+        "<div class='ad'><p>{long}</p></div><div><div>{content}</div></div><div id='comments'><ol><li>{long}</li></ol></div>",
+    ]
+    for layout in layouts:
+        for _ in range(25):
+            blocks = [("h1", sentence(4))] + [(r.choice(["p", "p", "p", "blockquote", "h2"]), sentence(r.choice([3, 12, 40, 80]))) for _ in range(r.randint(4, 12))]
+            content = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+            page = layout.format(menu=links(r.randint(3, 12)), content=content, small=sentence(6), long=sentence(r.choice([20, 120])))
+            assert m.extract(f"<!DOCTYPE html><html><body>{page}</body></html>") == "\n".join(x for _, x in blocks), layout
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    for name in ("ad", "menu", "related"):
+        m.extract(f"<div class='{name}'><p>x</p>" * 8_000)
+    assert m.extract("<p>text</p>" + "<a " * 50_000) == "text"
+    assert m.extract("a < b <p>c</p> d < e") == "a < b\nc\nd < e"
+    assert time.process_time() - began < 10

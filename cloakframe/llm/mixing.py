@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Token counts per cell (source, language, topic) are raked until their marginals meet the targets;
-the ratio of raked to counted tokens, scaled to at most one, is the probability with which every
-document of a cell is kept.  Decisions come from a hash of doc_id, so they are repeatable.  Only
-cells are shuffled for the raking; documents are read once for the counts and once for the sample.
+Token counts per cell (source, language, topic) are raked until their marginals meet the targets.  A
+document of a cell is kept with the probability min(1, c * raked / counted tokens), where c is such
+that the kept tokens come to ``BUDGET`` of all; so a rare cell that targets lift above its tokens is
+kept whole, and the rest shares what is left of the budget in the raked proportions.  Decisions come
+from a hash of doc_id, so they are repeatable.  Documents are read once for the counts and once for
+the sample.  Cells are few: up to ``BROADCAST_CELLS`` of them are raked as arrays, more by joins.
 
 Targets default to powers of the counted shares (a power below one lifts small values); other
 targets come as DataFrames (value, weight) for each margin.
@@ -17,6 +19,7 @@ out, and where targets contradict each other ``residuals`` shows what is missed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ from .shared import materialize
 
 POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.95}
 ROUNDS = 8
+#: Share of all tokens that the sample is to have.
+BUDGET = 0.9
 MARGINS = ("source", "lang", "topic")
-#: Cells up to this number are broadcast to the documents; more are joined by a shuffle.
+#: Cells up to this number are raked as arrays and broadcast to the documents; more are joined by shuffles.
 BROADCAST_CELLS = 100_000
 
 
@@ -56,13 +61,9 @@ def with_margins(docs: DataFrame) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """Adds the targets ``t_...``, ``raked`` and the probability ``p`` to cells (source, lang, topic, tokens).
-
-    Each step uses the cells twice, so they are written after each step and the plans stay small.
-    """
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float = BUDGET, few: int = BROADCAST_CELLS) -> DataFrame:
+    """Adds the targets ``t_...``, ``raked`` and the probability ``p`` to cells (source, lang, topic, tokens)."""
     cells = materialize(cells, "cells")
-    tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
     own = {}
     for m in MARGINS:
         own[m] = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"))
@@ -71,6 +72,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers:
             own[m] = own[m].join(t, m, "left").select(m, F.coalesce("weight", F.lit(0.0)).alias(f"t_{m}"))
         else:
             own[m] = own[m].select(m, F.pow("own", F.lit(powers[m])).alias(f"t_{m}"))
+    return _rake_arrays(cells, own, rounds, budget) if cells.count() <= few else _rake_joins(cells, own, rounds, budget)
+
+
+def _rake_arrays(cells: DataFrame, own: dict[str, DataFrame], rounds: int, budget: float) -> DataFrame:
+    rows = cells.select(*MARGINS, F.col("tokens").cast("double").alias("tokens")).collect()
+    tokens = np.array([r["tokens"] for r in rows], float)
+    raked, wanted, codes = tokens.copy(), {}, {}
+    for m in MARGINS:
+        known = dict(own[m].collect())  # no more values than cells
+        names = sorted(known)
+        place = {v: k for k, v in enumerate(names)}
+        wanted[m], codes[m] = np.array([known[v] for v in names], float), np.array([place[r[m]] for r in rows], np.int64)
+    for _ in range(rounds):
+        for m in MARGINS:
+            have = np.bincount(codes[m], raked, len(wanted[m]))
+            want = wanted[m] / (wanted[m].sum() or 1.0) * tokens.sum()
+            raked *= np.divide(want, have, out=np.zeros(len(have)), where=have > 0)[codes[m]]
+    ratio = np.divide(raked, tokens, out=np.zeros(len(rows)), where=tokens > 0)
+    p = np.minimum(1.0, ratio * budget_scale(ratio, tokens, raked, budget))
+    out = [(*(r[m] for m in MARGINS), int(r["tokens"]), *(float(wanted[m][codes[m][k]]) for m in MARGINS), float(raked[k]), float(p[k])) for k, r in enumerate(rows)]
+    return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, tokens long, t_source double, t_lang double, t_topic double, raked double, p double")
+
+
+def budget_scale(ratio: np.ndarray, tokens: np.ndarray, raked: np.ndarray, budget: float) -> float:
+    """c with sum(tokens * min(1, c * ratio)) = budget * sum(tokens): cells are filled from the largest ratio on."""
+    order = np.argsort(-ratio, kind="stable")
+    order = order[ratio[order] > 0]
+    before_tokens, before_raked = np.cumsum(tokens[order]) - tokens[order], np.cumsum(raked[order]) - raked[order]
+    c = (budget * tokens.sum() - before_tokens) / np.maximum(raked.sum() - before_raked, 1e-300)
+    fits = np.flatnonzero(c * ratio[order] <= 1)
+    return float(max(c[fits[0]], 0.0)) if len(fits) else float(1 / ratio[order[-1]]) if len(order) else 0.0
+
+
+def _rake_joins(cells: DataFrame, own: dict[str, DataFrame], rounds: int, budget: float) -> DataFrame:
+    """The same for any number of cells; each step uses the cells twice, so they are written after each step and the plans stay small."""
+    tokens = float(cells.agg(F.sum("tokens").alias("s")).first()["s"] or 0)
     sums = {m: own[m].agg(F.sum(f"t_{m}").alias("s")).first()["s"] or 1.0 for m in MARGINS}
     cells = cells.withColumn("raked", F.col("tokens").cast("double"))
     for m in MARGINS:
@@ -84,8 +121,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, powers:
             raked = F.when(F.col("have") > 0, F.col("raked") * want / F.col("have")).otherwise(0.0)
             cells = materialize(cells.join(have, m).withColumn("raked", raked).drop("have"), "raked")
     ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    top = cells.agg(F.max(ratio).alias("m")).first()["m"] or 1.0
-    return cells.withColumn("p", ratio / F.lit(float(top)))
+    scale, full = 0.0, None
+    while True:  # each turn fills the cells that the scale so far puts above one
+        above = (ratio * F.lit(scale) > 1) & (ratio > 0)
+        s = cells.agg(F.sum(F.when(above, F.col("tokens")).otherwise(0)).alias("filled"), F.sum(F.when(above, 0.0).otherwise(F.col("raked"))).alias("rest"), F.count_if(above).alias("n"), F.min(F.when(ratio > 0, ratio)).alias("least")).first()
+        if s["n"] == full or not s["least"]:
+            break
+        full = s["n"]
+        scale = (budget * tokens - s["filled"]) / s["rest"] if s["rest"] else 1 / s["least"]
+    return cells.withColumn("p", F.least(F.lit(1.0), ratio * F.lit(float(scale))))
 
 
 def residuals(cells: DataFrame) -> dict[str, float]:
@@ -104,11 +148,11 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """docs with ``mix_topic``, ``mix_tokens``, ``mix_p`` and ``mix_keep``."""
     own = with_margins(docs)
     cells = own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    raked = materialize(rake(cells, targets, powers, rounds).select(*MARGINS, F.col("p").alias("mix_p")), "shares")
+    raked = materialize(rake(cells, targets, powers, rounds, budget).select(*MARGINS, F.col("p").alias("mix_p")), "shares")
     if raked.count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
     return own.join(raked, list(MARGINS)).select(
@@ -144,8 +188,10 @@ cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM own G
 {share}
 targets AS (SELECT cells.*, {scaled} FROM cells JOIN msource USING (source) JOIN mlang USING (lang) JOIN mtopic USING (topic)),
 {", ".join(steps)},
-ratios AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM w{3 * ROUNDS}),
-shares AS (SELECT source, lang, topic, r / (SELECT CASE WHEN max(r) > 0 THEN max(r) ELSE 1 END FROM ratios) AS p FROM ratios)
+ratios AS MATERIALIZED (SELECT source, lang, topic, tokens, w, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM w{3 * ROUNDS}),
+filled AS (SELECT r, row_number() OVER o AS k, ({BUDGET} * (SELECT sum(tokens) FROM ratios) - (sum(tokens) OVER o - tokens)) / greatest((SELECT sum(w) FROM ratios) - (sum(w) OVER o - w), 1e-300) AS c FROM ratios WHERE r > 0
+  WINDOW o AS (ORDER BY r DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+shares AS (SELECT source, lang, topic, least(1, r * coalesce((SELECT greatest(arg_min(c, k), 0) FROM filled WHERE c * r <= 1), (SELECT 1 / min(r) FROM filled), 1)) AS p FROM ratios)
 """ + (
         last
         or "SELECT doc_id, topic, n_tokens, round(p, 9) AS p, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS keep FROM own JOIN shares USING (source, lang, topic)"

@@ -52,3 +52,22 @@ def test_default_targets_are_met_and_names_may_clash(spark, sf_dir):
     got = m.mix(odd)
     assert [c for c in got.columns if not c.startswith("mix_")] == [c for c in odd.columns if c != "mix_p"]
     assert {(r["__mix_x"], r["__mix_topic"], r["topic"], r["u"], r["tokens"]) for r in got.collect()} == {(1, "mine", "t", 9, "z")}
+
+
+def test_a_rare_cell_does_not_press_the_rest(spark):
+    """One token in a cell of its own is kept whole, and the others keep the budget's share."""
+    rows = [(k, "a b c d", "s", "en") for k in range(2000)] + [(5000, "x", "rare", "xx")]
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    p = {r.source: r.mix_p for r in got}
+    assert p["rare"] == 1 and p["s"] == pytest.approx(0.9, abs=1e-3)
+    assert sum(r.mix_keep for r in got) > 1700
+
+
+def test_arrays_and_joins_agree(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").union(spark.createDataFrame([(10**6, "one", "en", "odd", 3), (10**6 + 1, "", "zz", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    cells = m.with_margins(docs).groupBy(*m.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    for budget in (0.3, 0.9, 1.0):
+        a, b = ({tuple(r[c] for c in m.MARGINS): (r.p, r.raked) for r in m.rake(cells, rounds=3, budget=budget, few=few).collect()} for few in (10**6, 0))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+        kept = sum(r.tokens * a[tuple(r[c] for c in m.MARGINS)][0] for r in cells.collect())
+        assert kept == pytest.approx(budget * cells.agg(F.sum("tokens")).first()[0], rel=1e-6)

@@ -41,14 +41,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, partitions_for, shared_dir
-from .words import LOWER, SPACE, ragged, span_hashes, split_words, text_runs
+from .words import LOWER, SPACE, give_back, ragged, span_hashes, split_words, text_runs
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
 #: Text that is encoded at once, and the pieces that a worker keeps (of at most PIECE_BYTES; both affect cost only).
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 CACHE_PIECES = 300_000
 PIECE_BYTES = 64
 MANIFEST = "shard long, tokens string, index string, n_ids long, n_docs long"
@@ -288,6 +288,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str | None
             writer.add(doc_ids.cast(pa.int64()), *encoder.encode(buf, offsets, end_id))
         if writer is not None:
             writer.close()
+            del doc_ids, buf, offsets  # the worker lives on beside those of later stages
+            give_back()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [f"{name}.arrow"], "index": [f"{name}.docs.arrow"], "n_ids": [writer.n_ids], "n_docs": [writer.n_docs]})
 
     tie = F.xxhash64("text")

@@ -48,7 +48,7 @@ END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
 #: Text that is encoded at once, and the pieces that a worker keeps (of at most PIECE_BYTES; both affect cost only).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 CACHE_PIECES = 300_000
 PIECE_BYTES = 64
 MANIFEST = "shard long, tokens string, index string, n_ids long, n_docs long"

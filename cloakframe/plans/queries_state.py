@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.model import FAKE, REPLACE
 from cloakframe.operators import columns, detect, edits
-from cloakframe.plans import catalog
+from cloakframe.plans import batch, catalog
 from cloakframe.plans.queries import RULE_SCHEMA, table
 from cloakframe.plans.workspace import Workspace, newest, with_value
 from cloakframe.storage import keep, shared_path
@@ -105,3 +105,14 @@ def records_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_of_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that a workspace shows; the cap is the feature."""
     return newest(table(spark, sf_dir, "orders").selectExpr("o_custkey % 30 workspace", "o_orderkey seq"), ["seq"], ["workspace"])
+
+
+@query(
+    "batch_status",
+    """WITH log AS (SELECT o_custkey % 9 AS batch, o_custkey AS f, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 4 = 1 THEN 'e' || o_orderkey END AS error FROM orders)
+SELECT batch::VARCHAR AS batch, f::VARCHAR AS file_id, arg_max(status, seq) AS status, count(*) FILTER (status <> 'open') AS attempts, (max({'s': seq, 'e': error})).e AS error FROM log GROUP BY batch, f""",
+)
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a log of attempts: a file is what its last entry says."""
+    log = table(spark, sf_dir, "orders").selectExpr("cast(o_custkey % 9 as string) batch", "cast(o_custkey as string) file_id", "o_orderkey seq", "case o_orderkey % 4 when 0 then 'open' when 1 then 'failed' else 'done' end status", "case when o_orderkey % 4 = 1 then concat('e', o_orderkey) end error")
+    return batch.status_of(log)

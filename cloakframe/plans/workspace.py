@@ -27,6 +27,7 @@ TABLES = {
     "whitelist": "text string, match_mode string",
     "dictionary": "entry_idx int, text string, type string, match_mode string, replacement string, language string",
     "history": "record_id string, seq long, file_name string, processed_at timestamp, sensitive_count long, status string",
+    "attempts": "batch string, file_id string, seq long, status string, error string",
     "record_mappings": "record_id string, idx long, original_text string, replaced_text string, type string, strategy string, occurrences long",
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.model import FAKE, REPLACE
 from cloakframe.operators import columns, edits, entities
 from cloakframe.plans import catalog
+from cloakframe.plans.batch import Batch
 from cloakframe.plans.pipeline import Options, run
 from cloakframe.plans.workspace import TABLES, Workspace, list_workspaces
 from cloakframe.streaming.detect import rewrite_batch
@@ -181,3 +182,28 @@ def test_manual_item_after_ignore(spark):
     assert active((1, "add", "m", "Anna", None), (2, "ignore", None, "Anna", None)) == ["i1"]
     assert active((1, "ignore", None, "anna", "Fuzzy"), (2, "add", "m", "ANNA", None)) == ["i0", "i1", "m"]
     assert active((1, "ignore", None, "anna", None)) == ["i0", "i1"]
+
+
+def test_batch_resumes_what_is_open(spark, tmp_path):
+    """One file fails and does not stop the others; a later run reads only that one, and all share their values."""
+    w = Workspace(spark, f"file://{tmp_path}/ws", "w")
+    batch, reads, broken = Batch(w, "b1", str(tmp_path / "out"), Options(backend=entities.Lexicon({"Ann": "PER", "Bob": "PER"}))), [], {"c.txt"}
+    batch.add(["a.txt", "b.txt", "c.txt", "a.txt"])
+    batch.add(["a.txt"])
+    with pytest.raises(ValueError):
+        batch.add([f"{k}.txt" for k in range(18)])
+
+    def read(name):
+        reads.append(name)
+        if name in broken:
+            raise OSError("cannot read it")
+        return spark.createDataFrame([(name, 0, 0, 0, f"Ann met Bob in {name}")], SEGMENT)
+
+    state = lambda df: sorted((r.file_id, r.status, r.attempts, r.error) for r in df.collect())
+    assert state(batch.status()) == [(f, "open", 0, None) for f in ("a.txt", "b.txt", "c.txt")]
+    assert state(batch.run(read)) == [("a.txt", "done", 1, None), ("b.txt", "done", 1, None), ("c.txt", "failed", 1, "OSError: cannot read it")]
+    broken.clear()
+    assert state(batch.run(read))[2] == ("c.txt", "done", 2, None) and sorted(reads) == ["a.txt", "b.txt", "c.txt", "c.txt"]
+    texts = {r.text.split(" in ")[0] for f in ("a.txt", "b.txt", "c.txt") for r in spark.read.parquet(batch.path(f)).collect()}
+    assert len(texts) == 1 and w.read("history").count() == 3
+    assert state(batch.run(read)) == state(batch.status()) and len(reads) == 4

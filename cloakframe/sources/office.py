@@ -83,6 +83,19 @@ def docx_paragraphs(raw: bytes) -> list[dict]:
     return out
 
 
+def to_docx(segments: DataFrame, originals: DataFrame) -> DataFrame:
+    """file_id and content of documents (file_id, content) with the paragraphs of segments written in; a paragraph's number is its row."""
+    texts = segments.where("text is not null").groupBy("file_id").agg(F.collect_list(F.struct("row", "text")).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                content = docx_rewrite(r["content"], {x["row"]: x["text"] for x in r["texts"]})
+                yield pa.RecordBatch.from_arrays([pa.array([r["file_id"]], pa.string()), pa.array([content], pa.binary())], names=["file_id", "content"])
+
+    return originals.join(texts, "file_id").select("file_id", "content", "texts").mapInArrow(run, "file_id string, content binary")
+
+
 def docx_rewrite(raw: bytes, texts: dict[int, str]) -> bytes:
     """The document with the text of paragraphs replaced; all other parts are copied as they are."""
     source, out = zipfile.ZipFile(io.BytesIO(raw)), io.BytesIO()

@@ -78,7 +78,11 @@ def to_text(rows: DataFrame) -> DataFrame:
     return lists.select("file_id", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))
 
 
-def output_name(path: str, taken: set[str], mark: str = "_脱敏") -> str:
+#: Fixed value: what stands before the extension of a file that is written back.
+MARK = "_脱敏"
+
+
+def output_name(path: str, taken: set[str], mark: str = MARK) -> str:
     """base + mark + extension, with _1, _2, ... if taken."""
     folder, _, name = path.rpartition("/")
     base, dot, ext = name.rpartition(".")

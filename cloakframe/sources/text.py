@@ -36,6 +36,24 @@ def decode(raw: bytes) -> tuple[str | None, str | None, str | None]:
     return None, None, "the file is neither UTF-8 nor GBK"
 
 
+def encoded(texts: DataFrame) -> DataFrame:
+    """file_id, text, content and error of texts (file_id, text, encoding): UTF-8 unless the encoding is GBK, which must have every character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, errors = [], []
+            for t, encoding in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    content.append((t or "").encode("gbk" if encoding == "gbk" else "utf-8"))
+                    errors.append(None)
+                except UnicodeEncodeError:
+                    content.append(None)
+                    errors.append("GBK lacks a character of the text; write it as UTF-8")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(content, pa.binary()), pa.array(errors, pa.string())], names=["file_id", "text", "content", "error"])
+
+    return texts.select("file_id", "text", "encoding").mapInArrow(run, "file_id string, text string, content binary, error string")
+
+
 def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """file_id, content of the files of a folder; larger ones get an error instead of content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

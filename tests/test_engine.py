@@ -222,3 +222,29 @@ def test_folder_of_all_kinds(spark, tmp_path):
     assert files.exists(spark, f"file://{tmp_path}/a.txt") and not files.exists(spark, f"file://{tmp_path}/z.txt")
     out = files.export(got)
     assert [r.text for r in out["txt"].collect()] == ["one\ntwo"] and [r.text for r in out["csv"].collect()] == ['h,"x,y"\n1,2']
+
+
+def test_files_written_back(spark, tmp_path):
+    """Text in the encoding it had, documents with their other parts, and an error for each file that cannot be written."""
+    from cloakframe.sources import files
+    from cloakframe.sources import text as texts_of
+
+    source = tmp_path / "in"
+    (source / "x").mkdir(parents=True)
+    (source / "a.txt").write_bytes("电话 one\n二".encode("gbk"))
+    (source / "b.txt").write_bytes("电话 b".encode("gbk"))
+    (source / "x" / "a.txt").write_text("plain\n", encoding="utf-8")
+    (source / "d.docx").write_bytes(docx("<w:p><w:r><w:t>first</w:t></w:r></w:p><w:p><w:r><w:t>mail a@b.co</w:t></w:r></w:p>"))
+    (source / "p.pdf").write_bytes(b"%PDF")
+    got, _ = files.read(spark, f"file://{source}")
+    name = F.substring_index("file_id", "/", -1)
+    changed = got.withColumn("text", F.when(name == "b.txt", F.concat("text", F.lit("\U0001f642"))).otherwise(F.replace("text", F.lit("a@b.co"), F.lit("a*****"))))
+    originals = texts_of.read_files(spark, f"file://{source}", "*.docx").select("file_id", "content")
+    out = files.export(changed.unionByName(spark.createDataFrame([("q.odt", 0, 0, 0, "x")], changed.schema)), None, originals, texts_of.read_txt(spark, f"file://{source}"))
+    assert sorted((r.file_id.rsplit("/", 1)[-1], r.error) for r in out["errors"].collect()) == [("b.txt", "GBK lacks a character of the text; write it as UTF-8"), ("q.odt", "a kind of file that is not written")]
+    written = files.write_back(out["txt"].select("file_id", "content").unionByName(out["docx"]), f"file://{tmp_path}/out")
+    assert written.count() == 3
+    made = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if not f.name.endswith(".crc")}
+    assert sorted(made) == ["a_脱敏.txt", "a_脱敏_1.txt", "d_脱敏.docx"]
+    assert {made["a_脱敏.txt"], made["a_脱敏_1.txt"]} == {"电话 one\n二".encode("gbk"), b"plain"}
+    assert [x["text"] for x in office.docx_paragraphs(made["d_脱敏.docx"])] == ["first", "mail a*****"]

@@ -104,6 +104,9 @@ def counted(docs: DataFrame, buckets: int = BUCKETS, grams: int = GRAMS) -> Data
     bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
     own = docs.select("text", F.struct(*rest).alias("rest"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small input in fewer splits than there are cores
+        own = own.repartition(cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(buckets, grams)

@@ -13,6 +13,8 @@ Defined results: those of the Column functions; a null text gives null, or no sp
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import SparkSession
 
 from cloakframe.functions import rewrite
@@ -20,6 +22,9 @@ from cloakframe.operators.rules import Rule, rules_for
 
 SPAN = "struct<start:int,end:int,text:string>"
 TYPED = "struct<start:int,end:int,text:string,type:string,rule:int>"
+PLACED = f"struct<start:int,i:int,x:{TYPED}>"
+#: Plain tests that a text must pass before any pattern with that guard is tried, as in ``spans.GUARDS``.
+GUARDS = {"": r"t RLIKE r'\p{Nd}'", "zh": "t RLIKE '[一-鿿]'", "@": "contains(t, '@')", ":": "contains(t, ':')"}
 
 
 # written out where a lambda's variable is tested: a SQL function cannot take one
@@ -79,12 +84,41 @@ def _rule(rule: Rule, k: int) -> str:
         tests.append({"luhn": LUHN, "ipv4": IPV4}[rule.check].format("x.text"))
     found = f"find_matches(t, {_raw(rule.pattern)})"
     kept = f"filter({found}, x -> {' AND '.join(tests)})" if tests else found
-    return f"transform({kept}, x -> named_struct('start', x.start, 'end', x.end, 'text', x.text, 'type', '{rule.type}', 'rule', {k}))"
+    typed = f"transform({kept}, x -> named_struct('start', x.start, 'end', x.end, 'text', x.text, 'type', '{rule.type}', 'rule', {k}))"
+    # most guarded texts still have no match: one search decides before the fold runs
+    return f"CASE WHEN t RLIKE {_raw(rule.pattern)} THEN {typed} ELSE {_none(TYPED)} END"
+
+
+def _none(kind: str) -> str:
+    return f"cast(array() AS array<{kind}>)"
+
+
+def _guarded(rules: list[tuple[int, Rule]], guard: str) -> str:
+    """The spans of neighbouring rules with one guard, which is tested once."""
+    return f"CASE WHEN {GUARDS[guard]} THEN concat({', '.join(_rule(r, k) for k, r in rules)}) ELSE {_none(TYPED)} END"
+
+
+def _no_overlap(spans: str) -> str:
+    """``spans.no_overlap``: swept by their starts, only spans that reach into one another are compared.
+
+    Each part is written once, in the place of its use, so it is worked out once.
+    """
+    run = f"array<{PLACED}>"
+    apart = "x.start >= a.reach"
+    placed = f"array_sort(transform({spans}, (x, i) -> named_struct('start', x.start, 'i', i, 'x', x)))"
+    sweep = f"""named_struct('reach', greatest(a.reach, x.x.end),
+  'run', CASE WHEN {apart} THEN array(x) ELSE concat(a.run, array(x)) END,
+  'done', CASE WHEN {apart} THEN concat(a.done, array(a.run)) ELSE a.done END)"""
+    runs = f"aggregate({placed}, named_struct('reach', 0, 'run', {_none(PLACED)}, 'done', {_none(run)}), (a, x) -> {sweep}, a -> concat(a.done, array(a.run)))"
+    in_order = "array_sort({0}, (p, q) -> p.i - q.i)"
+    admit = "CASE WHEN exists(kept, y -> x.x.start < y.x.end AND y.x.start < x.x.end) THEN kept ELSE concat(kept, array(x)) END"
+    kept = f"flatten(transform({runs}, r -> CASE WHEN size(r) > 1 THEN aggregate({in_order.format('r')}, {_none(PLACED)}, (kept, x) -> {admit}) ELSE r END))"
+    return f"transform({in_order.format(kept)}, x -> x.x)"
 
 
 def _detect(language: str) -> str:
-    spans = f"concat({', '.join(_rule(r, k) for k, r in enumerate(rules_for(language)))})"
-    return f"aggregate({spans}, cast(array() AS array<{TYPED}>), (kept, x) -> CASE WHEN exists(kept, y -> x.start < y.end AND y.start < x.end) THEN kept ELSE concat(kept, array(x)) END)"
+    groups = [_guarded(list(g), guard) for guard, g in groupby(enumerate(rules_for(language)), lambda x: x[1].guard)]
+    return _no_overlap(f"concat({', '.join(groups)})")
 
 
 def definitions() -> list[str]:

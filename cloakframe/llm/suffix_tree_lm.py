@@ -15,8 +15,10 @@ words to hash buckets, which add up their counts and send back those of the slic
 further pass (contexts one word longer) it sends its distinct pairs of context and next word, for
 contexts that may be states; the bucket of a context adds them up, tests it, and sends back the
 counts and the weight of smoothing.  The number of buckets follows the input, so a bucket's size does
-not.  A context seen ``spread`` times is dealt over several buckets by its next word; it needs no
-test to be a state, and its smoothing is the square root of its count.
+not.  A context seen more than ``spread`` times is dealt over several buckets by its next word; each
+adds up its part of the test and of the next words, the parts are added to one result for the
+context, and that is joined to the slices that hold it.  Test and smoothing are those of all other
+contexts, so ``spread`` moves work and no result.
 
 Counts are exact up to collisions of 64-bit hashes of words, and of 32 bits within a bucket for
 contexts and for the words after one context.
@@ -47,6 +49,8 @@ MAX_WORDS = 3
 MIN_COUNT = (2, 5)
 #: A context is a state if N * KL(own, parent's) is at least this, for each next word seen.
 DIVERGENCE = 1.0
+#: Divergences are added as integers of this part of one, so their sums don't depend on the order.
+GAIN_PARTS = 1 << 16
 #: Training tokens after a context from which its next words are spread over buckets.
 SPREAD = 1 << 19
 SLICE_BYTES = 2 << 20
@@ -57,10 +61,10 @@ LOW32 = np.uint64((1 << 32) - 1)
 SLICES = "slice long, doc_ids binary, counts binary, words binary, tokens binary"
 WORDS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 PAIRS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("nexts", pa.binary()), ("counts", pa.binary()), ("parents", pa.binary()), ("contexts", pa.binary()), ("runs", pa.binary()), ("totals", pa.binary())])
-ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("weights", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
-ANSWER_SQL = "slice long, bucket long, counts binary, weights binary, a long, b long"
-#: In place of a slice's number: a bucket's sums.
-SUMS = -1
+ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("weights", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("wide", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
+ANSWER_SQL = "slice long, bucket long, counts binary, weights binary, a long, b long, wide array<long>, parts array<long>"
+#: In place of a slice's number: a bucket's sums; its parts of the contexts that are spread (``wide``: their keys).
+SUMS, PARTS = -1, -2
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -82,6 +86,11 @@ def code_log(code: np.ndarray) -> np.ndarray:
     return code * (-np.log(2) / 8)
 
 
+def wide_key(context: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A spread context in all buckets: 32 bits of its hash and its count."""
+    return ((total.astype(np.uint64) << np.uint64(32)) | (context.astype(np.uint64) & LOW32)).view(np.int64)
+
+
 def sorted_groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts the codes (not negative), and the first place of each group of equal codes."""
     n = len(code)
@@ -187,18 +196,26 @@ class Walk:
         by_context = [(self.context[self.run] & LOW32).astype(np.uint32), runs, self.total[self.own[self.run]].astype(np.uint64)]
         return packed_rows(PAIRS, number, self.bucket, columns, self.bucket[self.run], by_context, planes=(1, 4, 5))
 
-    def take(self, answers: list, p: np.ndarray) -> None:
-        """Counts and weights of the step's contexts; probabilities go on in those that are states."""
+    def take(self, answers: list, spread: list, p: np.ndarray) -> None:
+        """Counts and weights of the step's contexts; probabilities go on in those that are states.
+
+        spread: (key, weight) of the slice's contexts that are spread over buckets.
+        """
         counts = np.concatenate([np.empty(0, np.uint64), *(from_planes(x["counts"], np.uint64) for x in answers)])
         weight = np.concatenate([np.empty(0, np.int32), *(from_planes(x["weights"], np.int32) for x in answers)])
         if len(counts) != len(self.own) or len(weight) != len(self.run):
             raise ValueError("answers that do not fit the slice's contexts")
+        if spread:
+            # a part's own weight counts only its next words
+            whole = dict((x["wide"], x["weight"]) for x in spread)
+            total = self.total[self.own[self.run]]
+            wide = np.flatnonzero(total > self.spread)
+            keys = wide_key(self.context[self.run[wide]], total[wide]).tolist()
+            weight[wide] = [whole.get(k, w) for k, w in zip(keys, weight[wide].tolist())]
         weight = np.repeat(weight, np.diff(np.append(self.run, len(self.own))))[self.entry].astype(np.float64)
         at = self.sent
         self.seen[at] = counts[self.entry]
-        wide = self.total[at] >= self.spread
-        self.single[at] = ~wide & (np.abs(weight) <= 1)
-        weight = np.where(wide, np.sqrt(self.total[at]), weight)
+        self.single[at] = np.abs(weight) <= 1
         state = weight > 0
         kept, weight = at[state], weight[state]
         p[kept] = (self.seen[kept] + weight * p[kept]) / (self.total[kept] + weight)
@@ -216,15 +233,26 @@ def _column(table: pa.Table, name: str, kind: type, planes: bool = False) -> lis
     return [from_planes(x.as_buffer(), kind) if planes else np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
 
 
-def _answers(table: pa.Table, sizes: list[int], counts: np.ndarray, runs: list[int], weights: np.ndarray, a: int, b: int) -> pa.Table:
-    """Each slice's own counts and weights, and a row with the bucket's sums."""
+def _answers(table: pa.Table, sizes: list[int], counts: np.ndarray, runs: list[int], weights: np.ndarray, a: int, b: int, wide: np.ndarray | None = None, parts: tuple | None = None) -> pa.Table:
+    """Each slice's own counts and weights, and a row with the bucket's sums.
+
+    wide: of each run the key if its context is spread, else 0; parts: keys of the bucket's spread
+    contexts with their divergences and numbers of next words.
+    """
     bucket = table.column("bucket")[0].as_py()
     cut, split = np.cumsum([0, *sizes]).tolist(), np.cumsum([0, *runs]).tolist()
-    rows = [(s, bucket, to_planes(counts[cut[k] : cut[k + 1]]), to_planes(weights[split[k] : split[k + 1]]), None, None) for k, s in enumerate(table.column("slice").to_pylist())]
-    rows.append((SUMS, bucket, None, None, a, b))
+    rows = [(s, bucket, to_planes(counts[cut[k] : cut[k + 1]]), to_planes(weights[split[k] : split[k + 1]]), None, None, _some(wide, split[k], split[k + 1]), None) for k, s in enumerate(table.column("slice").to_pylist())]
+    rows.append((SUMS, bucket, None, None, a, b, None, None))
+    if parts is not None and len(parts[0]):
+        keys, gain, number = parts
+        rows.append((PARTS, bucket, None, None, None, None, keys.tolist(), np.column_stack([gain, number]).reshape(-1).tolist()))
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ANSWER)], schema=ANSWER)
 
 
+def _some(wide: np.ndarray | None, start: int, end: int) -> list[int] | None:
+    return (wide[start:end][wide[start:end] != 0].tolist() or None) if wide is not None else None
+
+
 def add_words(table: pa.Table) -> pa.Table:
     """Corpus counts of the bucket's words; sums: distinct words and tokens of the training texts."""
     parts = _column(table, "keys", np.uint64)
@@ -235,25 +263,52 @@ def add_words(table: pa.Table) -> pa.Table:
     return _answers(table, [len(x) for x in parts], sums[inverse], [0] * len(parts), none, int((sums > 0).sum()), int(sums.sum()))
 
 
-def add_pairs(table: pa.Table) -> pa.Table:
-    """Corpus counts of the bucket's pairs, and for each context its number of next words, negative if it is no state."""
+def add_pairs(table: pa.Table, spread: int = SPREAD) -> pa.Table:
+    """Corpus counts of the bucket's pairs, and for each context its number of next words, negative if it is no state.
+
+    Contexts seen more than ``spread`` times have only a part of their next words here.
+    """
     nexts, runs = _column(table, "nexts", np.uint32), _column(table, "runs", np.uint32, True)
     lengths = np.concatenate(runs)
-    context = np.repeat(np.concatenate(_column(table, "contexts", np.uint32)).astype(np.uint64), lengths)
+    contexts, totals = np.concatenate(_column(table, "contexts", np.uint32)), np.concatenate(_column(table, "totals", np.uint64, True))
+    context = np.repeat(contexts.astype(np.uint64), lengths)
     keys, at, inverse = np.unique((context << np.uint64(32)) | np.concatenate(nexts), return_index=True, return_inverse=True)
     inverse = inverse.reshape(-1)
     sums = np.bincount(inverse, weights=np.concatenate(_column(table, "counts", np.uint32, True)), minlength=len(keys))
-    total = np.repeat(np.concatenate(_column(table, "totals", np.uint64, True)), lengths)[at].astype(np.float64)
+    total = np.repeat(totals, lengths)[at].astype(np.float64)
     parent = code_log(np.concatenate(_column(table, "parents", np.uint8))[at])
-    gain = np.where(sums > 0, sums * (np.log(np.maximum(sums, 1) / total) - parent), 0.0)
+    gain = np.rint(np.where(sums > 0, sums * (np.log(np.maximum(sums, 1) / total) - parent), 0.0) * GAIN_PARTS).astype(np.int64)
     own = keys >> np.uint64(32)
     head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     number = np.add.reduceat((sums > 0).astype(np.int64), head)
-    state = np.add.reduceat(gain, head) >= DIVERGENCE * np.maximum(number, 1)
+    gain = np.add.reduceat(gain, head)
+    state = is_state(gain, number)
     weight = np.where(state, number, -number).astype(np.int32)
     of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
     first = np.cumsum(lengths) - lengths
-    return _answers(table, [len(x) for x in nexts], sums.astype(np.uint64)[inverse], [len(x) for x in runs], weight[of[inverse[first]]], int(state.sum()), int(sums.sum()))
+    wide, parts = None, None
+    if (totals > spread).any():
+        wide = np.where(totals > spread, wide_key(contexts, totals), 0)
+        most = np.maximum.reduceat(total, head)
+        part = np.flatnonzero(most > spread)
+        parts = wide_key(own[head[part]], most[part]), gain[part], number[part]
+    return _answers(table, [len(x) for x in nexts], sums.astype(np.uint64)[inverse], [len(x) for x in runs], weight[of[inverse[first]]], int(state.sum()), int(sums.sum()), wide, parts)
+
+
+def is_state(gain: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """gain: in units of 1 / ``GAIN_PARTS``; number: of next words."""
+    return gain >= round(DIVERGENCE * GAIN_PARTS) * np.maximum(number, 1)
+
+
+def whole_weights(got: DataFrame) -> DataFrame:
+    """slice and its spread contexts (wide, weight): the parts of all buckets added up, then joined to the slices."""
+    parts = got.where(F.col("slice") == PARTS).select(F.posexplode("wide").alias("k", "wide"), "parts")
+    parts = parts.select("wide", F.element_at("parts", 2 * F.col("k") + 1).alias("gain"), F.element_at("parts", 2 * F.col("k") + 2).alias("number"))
+    sums = parts.groupBy("wide").agg(F.sum("gain").alias("gain"), F.sum("number").alias("number"))
+    state = F.col("gain") >= round(DIVERGENCE * GAIN_PARTS) * F.greatest("number", F.lit(1))
+    weights = sums.select("wide", F.when(state, F.col("number")).otherwise(-F.col("number")).cast("int").alias("weight"))
+    held = got.where(F.col("slice") >= 0).select("slice", F.explode("wide").alias("wide")).distinct()
+    return held.join(weights, "wide").groupBy("slice").agg(F.collect_list(F.struct("wide", "weight")).alias("spread"))
 
 
 def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int] = MIN_COUNT, spread: int = SPREAD, slice_bytes: int = SLICE_BYTES, bucket_text: int = BUCKET_TEXT) -> DataFrame:
@@ -268,10 +323,16 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
     v, n = (sums["v"] or 0) + (ends > 0), (sums["n"] or 0) + ends
     answers = []
 
-    def keep(got: DataFrame) -> None:
-        """The answers of a pass by slice, bucketed as the slices are: they move once."""
-        own = got.where(F.col("slice") != SUMS).repartition(tables, "slice").groupBy("slice")
-        answers.append(bucketed(own.agg(F.collect_list(F.struct("bucket", "counts", "weights")).alias(f"level{len(answers)}")), tables))
+    def keep(got: DataFrame) -> bool:
+        """The answers of a pass by slice, bucketed as the slices are: they move once.  False if there are none."""
+        last = got.where(F.col("slice") < 0).agg(F.min("slice").alias("kind")).first()["kind"]
+        own = got.where(F.col("slice") >= 0).repartition(tables, "slice").groupBy("slice").agg(F.collect_list(F.struct("bucket", "counts", "weights")).alias(f"level{len(answers)}"))
+        if last == PARTS:
+            own = own.join(whole_weights(got), "slice", "left")
+        else:
+            own = own.withColumn("spread", F.lit(None).cast("array<struct<wide:long,weight:int>>"))
+        answers.append(bucketed(own.withColumnRenamed("spread", f"spread{len(answers)}"), tables))
+        return last is not None
 
     def with_answers() -> DataFrame:
         out = slices
@@ -288,9 +349,9 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
         base = (count + 0.5) / (n + 0.5 * (v + 1))
         p = base.copy()
         walk.begin(count, ends)
-        for level in by_level[1:]:
+        for k, level in enumerate(by_level[1:], 1):
             walk.grow()
-            walk.take(level, p)
+            walk.take(level, row[f"spread{k}"] or [], p)
         return walk, count, base, p
 
     def sender(levels: int):
@@ -316,9 +377,9 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
     keep(got)
     for level in range(1, max_words + 1):
         sent = with_answers().mapInArrow(sender(level - 1), "bucket long, slice long, nexts binary, counts binary, parents binary, contexts binary, runs binary, totals binary")
-        got = materialize(sent.groupBy("bucket").applyInArrow(add_pairs, ANSWER_SQL), "contexts")
-        keep(got)
-        if not got.where((F.col("slice") == SUMS) & (F.col("a") > 0)).limit(1).count():
+        got = materialize(sent.groupBy("bucket").applyInArrow(lambda x: add_pairs(x, spread), ANSWER_SQL), "contexts")
+        # a context that is no state may have longer ones that are
+        if not keep(got):
             break
     passes = len(answers) - 1
     return with_answers().mapInArrow(lambda x: run(x, passes), RESULT)
@@ -329,7 +390,7 @@ def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], max_words: int = MAX_WORDS, min_count: tuple[int, int] = MIN_COUNT, spread: int = SPREAD) -> list[tuple]:
-    """Plain reference for tests."""
+    """Plain reference for tests; ``spread`` has no part in the results."""
     import math
     import re
     from collections import Counter, defaultdict
@@ -364,16 +425,13 @@ def brute_force(rows: list[tuple[int | None, str | None]], max_words: int = MAX_
             nexts = after.get(context, Counter())
             total = sum(nexts.values())
             shorter = context[1:]
-            extended = all(len(after[shorter[k:]]) > 1 or sum(after[shorter[k:]].values()) >= spread for k in range(len(shorter)))
+            extended = all(len(after[shorter[k:]]) > 1 for k in range(len(shorter)))
             memo[context] = None
             if total >= min_count[len(context) > 1] and extended and (not shorter or sum(after[shorter].values()) >= min_count[len(shorter) > 1]):
-                if total >= spread:
-                    memo[context] = (total, math.sqrt(total))
-                else:
-                    codes = {x: float(code_log(parent_code(np.array([prob(shorter, x)])))[0]) for x in nexts}
-                    gain = sum(c * (math.log(c / total) - codes[x]) for x, c in nexts.items())
-                    if gain >= DIVERGENCE * len(nexts):
-                        memo[context] = (total, len(nexts))
+                codes = {x: float(code_log(parent_code(np.array([prob(shorter, x)])))[0]) for x in nexts}
+                gain = sum(round(c * (math.log(c / total) - codes[x]) * GAIN_PARTS) for x, c in nexts.items())
+                if gain >= DIVERGENCE * GAIN_PARTS * len(nexts):
+                    memo[context] = (total, len(nexts))
         return memo[context]
 
     out = []

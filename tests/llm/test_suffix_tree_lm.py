@@ -91,3 +91,16 @@ def test_many_rows_without_doc_id(spark):
     rows = [(None, f"t{i % 50} a b")  for i in range(3_000)] + [(1, "t1 a b"), (2, "t1 a b")]
     got = m.score(spark.createDataFrame(rows, "doc_id long, text string"), slice_bytes=2_000).collect()
     assert len(got) == len(rows) and all(np.isfinite(r.score) for r in got)
+
+
+def test_spreading_moves_work_and_no_result(spark):
+    """Contexts dealt over many buckets are tested and smoothed as those in one."""
+    rng = random.Random(3)
+    rows = list(enumerate(chain(rng, 250) + ["z " * 40 + "y"] * 4 + ["q r"] * 60))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scores = []
+    for spread in (1 << 19, 40, 6):
+        got = sorted(map(tuple, m.score(df, slice_bytes=900, bucket_text=300, spread=spread).collect()))
+        check(got, rows)
+        scores.append(got)
+    assert scores[1] == scores[0] and scores[2] == scores[0]

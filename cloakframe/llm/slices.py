@@ -131,12 +131,18 @@ def _binary(data: np.ndarray, cuts: np.ndarray, planes: bool) -> pa.Array:
 
 def to_planes(data: np.ndarray) -> bytes:
     """The bytes of one place together: numbers that are small most of the time compress far better so."""
-    return np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T.tobytes()
+    raw = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize)
+    return np.stack([raw[:, k] for k in range(data.itemsize)]).tobytes()
 
 
 def from_planes(raw: bytes | memoryview | pa.Buffer, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    # plane by plane: a transposed copy takes several times as long
+    out = np.empty((planes.shape[1], size), np.uint8)
+    for k in range(size):
+        out[:, k] = planes[k]
+    return out.view(kind).reshape(-1)
 
 
 def packed_rows(schema: pa.Schema, number: int, bucket: np.ndarray, columns: list[np.ndarray], bucket2: np.ndarray | None = None, columns2: list[np.ndarray] | tuple = (), planes: tuple[int, ...] = ()) -> pa.RecordBatch:
@@ -156,12 +162,19 @@ def ids_array(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, mask=ids == NO_ID)
 
 
-def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The rows of Arrow batches one by one."""
+def slice_rows(batches: Iterator[pa.RecordBatch], trim: bool = True) -> Iterator[dict]:
+    """The rows of Arrow batches one by one.
+
+    trim: give memory back before each row; otherwise once after the last, for rows that all need about
+    the same: to touch it anew for each row costs about as much as a third of the work on it.
+    """
     for batch in batches:
         for k in range(batch.num_rows):
-            give_back()
+            if trim:
+                give_back()
             yield batch.slice(k, 1).to_pylist()[0]
+    if not trim:
+        give_back()
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

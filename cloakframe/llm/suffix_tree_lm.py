@@ -14,7 +14,8 @@ cut where the input is read, so texts are not shuffled.  In pass 0 every slice s
 words to hash buckets, which add up their counts and send back those of the slice's words.  In each
 further pass (contexts one word longer) it sends its distinct pairs of context and next word, for
 contexts that may be states; the bucket of a context adds them up, tests it, and sends back the
-counts and the weight of smoothing.  The number of buckets follows the input, so a bucket's size does
+counts and the weight of smoothing.  A slice's walk is done anew in each pass, so no state of it is
+stored.  The number of buckets follows the input, so a bucket's size does
 not.  A context seen more than ``spread`` times is dealt over several buckets by its next word; each
 adds up its part of the test and of the next words, the parts are added to one result for the
 context, and that is joined to the slices that hold it.  Test and smoothing are those of all other
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, materialize
 from .slices import NO_ID, bucket_of, bucketed, from_planes, ids_array, packed_rows, slice_rows, table_buckets, to_planes, total_bytes
-from .words import GRAM_MUL, SPACE, mix, split_words, text_runs
+from .words import GRAM_MUL, SPACE, give_back, mix, split_words, text_runs
 
 MAX_WORDS = 3
 #: Training tokens that must follow a context of one word, and a longer one.
@@ -54,6 +55,7 @@ GAIN_PARTS = 1 << 16
 #: Training tokens after a context from which its next words are spread over buckets.
 SPREAD = 1 << 19
 SLICE_BYTES = 2 << 20
+RUN_BYTES = 1 << 18
 BUCKET_TEXT = 8 << 20
 START_HASH, END_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LOW32 = np.uint64((1 << 32) - 1)
@@ -91,17 +93,56 @@ def wide_key(context: np.ndarray, total: np.ndarray) -> np.ndarray:
     return ((total.astype(np.uint64) << np.uint64(32)) | (context.astype(np.uint64) & LOW32)).view(np.int64)
 
 
-def sorted_groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the codes (not negative), and the first place of each group of equal codes."""
-    n = len(code)
-    bits = max(1, int(n).bit_length())
-    if n and int(code.max()).bit_length() + bits < 63:
-        packed = np.sort((code << bits) | np.arange(n))
-        order, code = packed & ((1 << bits) - 1), packed >> bits
-    else:
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-    return order, np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.empty(0, np.int64)
+def sorted_places(number: np.ndarray, token: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``at`` in order of their pairs (number, token of at most ``bits`` bits), and the codes of these pairs."""
+    code = (number.astype(np.int64) << bits) | token
+    if not len(at):
+        return at, code
+    low = int(at.max()).bit_length()
+    if int(code.max()).bit_length() + low <= 63:
+        code <<= low
+        code |= at
+        code.sort()
+        return code & ((1 << low) - 1), code >> low
+    order = np.argsort(code, kind="stable")
+    return at[order], code[order]
+
+
+def heads(code: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal numbers."""
+    return np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+
+
+def sizes(head: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(head, n))
+
+
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, the first place in it of each distinct key, and how often that occurs."""
+    order = np.argsort(key)
+    head = heads(key[order])
+    return order, head, sizes(head, len(key))
+
+
+def put_back(order: np.ndarray, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each distinct key's value at all its places."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, size)
+    return out
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The integers in the fewest bytes that hold them all; who reads them knows their number."""
+    if x.dtype.kind == "u":
+        return x.astype(np.min_scalar_type(x.max()) if len(x) else np.uint8)
+    return x.astype(np.min_scalar_type(-1 - int(np.abs(x).max())) if len(x) else np.int8)
+
+
+def widened(raws: list, numbers: list[int], kind: str) -> np.ndarray:
+    """Narrow integers, so many in each of ``raws``; kind: u or i."""
+    if len(raws) != len(numbers):
+        raise ValueError("answers that do not fit the slice's contexts")
+    return np.concatenate([np.empty(0, kind + "1"), *(from_planes(x, f"{kind}{len(x) // k}") for x, k in zip(raws, numbers))])
 
 
 def build_slices(docs: DataFrame, tables: int, slice_bytes: int) -> DataFrame:
@@ -109,40 +150,61 @@ def build_slices(docs: DataFrame, tables: int, slice_bytes: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for seq, (ids, text, offsets) in enumerate(text_runs(batches, slice_bytes)):
+        number, held, runs = TaskContext.get().partitionId() << 32, 0, []
+
+        def full() -> pa.RecordBatch:
+            ids, counts, hashes = (np.concatenate(x) for x in zip(*runs))
+            runs.clear()
+            order, head, size = groups(hashes)
+            tokens = np.insert(put_back(order, np.arange(len(head), dtype=np.uint32), size), np.cumsum(counts), len(head))
+            columns = [ids, counts.astype(np.int32), hashes[order[head]], narrow(tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([to_planes(c)], pa.binary()) for c in columns)], names=["slice", "doc_ids", "counts", "words", "tokens"])
+
+        # words are split and hashed in runs that fit into a processor's cache
+        for ids, text, offsets in text_runs(batches, min(slice_bytes, RUN_BYTES), trim=False):
             w = split_words(text, offsets, SPACE, lower=True)
-            words, inverse = np.unique(w.hash, return_inverse=True)
-            tokens = np.insert(inverse.reshape(-1), w.first[1:], len(words))
-            columns = [ids.to_numpy(zero_copy_only=False), w.counts.astype(np.int32), words, tokens.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([base + seq]), *(pa.array([to_planes(c)], pa.binary()) for c in columns)], names=["slice", "doc_ids", "counts", "words", "tokens"])
+            runs.append((ids.to_numpy(zero_copy_only=False), w.counts, w.hash))
+            held += len(text)
+            if held >= slice_bytes:
+                yield full()
+                number, held = number + 1, 0
+        if runs:
+            yield full()
+        give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     return bucketed(rows.mapInArrow(cut, SLICES), tables)
 
 
 class Walk:
-    """The contexts of a slice's tokens, one word longer with each step."""
+    """The contexts of a slice's tokens, one word longer with each step.
+
+    A step works on groups: the tokens with one context before them and one next word.  They share
+    counts and probabilities.  Contexts are numbered in the order of their buckets.
+    """
 
     def __init__(self, row: dict, least: tuple[int, int], spread: int, buckets: int):
         self.ids = from_planes(row["doc_ids"], np.int64)
         self.counts = from_planes(row["counts"], np.int32).astype(np.int64)
         self.words = from_planes(row["words"], np.uint64)
-        self.tokens = from_planes(row["tokens"], np.uint32).astype(np.int64)
+        n = int(self.counts.sum()) + len(self.counts)
+        self.tokens = from_planes(row["tokens"], f"u{len(row['tokens']) // n}").astype(np.int32)
         self.first = np.cumsum(self.counts + 1) - self.counts - 1
-        self.use = np.repeat(learned(self.ids), self.counts + 1)
         self.least, self.spread, self.buckets = least, spread, buckets
 
+    def use(self) -> np.ndarray:
+        """The tokens that are learned from."""
+        return np.repeat(learned(self.ids), self.counts + 1)
+
     def begin(self, count: np.ndarray, texts: int) -> None:
-        """count: of each token in the corpus; texts: the number of starts."""
+        """count: of each of the slice's words in the corpus; texts: the number of starts."""
         n = len(self.tokens)
-        self.word = np.append(self.words, END_HASH)[self.tokens]
         self.is_first = np.zeros(n + 1, bool)
         self.is_first[self.first] = self.is_first[n] = True
-        self.gram, self.group, self.seen, self.reached = self.word, self.tokens, count, np.arange(n)
-        self.single = np.zeros(n, bool)
-        self.total = np.zeros(n)
-        self.texts, self.length = texts, 0
+        #: 1: a context with a single next word, seen too rarely to go on; 2: one that goes on.
+        self.single = np.zeros(n, np.uint8)
+        # of each token's number: the last one is the end, or the start as a context
+        self.hash, self.seen, self.length = np.append(self.words, START_HASH), np.append(count, texts), 0
 
     def grow(self) -> None:
         """Contexts one word longer: what stands before a token is the previous token with its context.
@@ -150,98 +212,119 @@ class Walk:
         Only tokens after a pair that was seen often enough go on: their number falls with each step.
         """
         least = self.least[min(self.length, len(self.least) - 1)]
-        before = self.reached[self.seen[self.reached] >= least]
-        before = before[~self.is_first[before + 1]]
-        at, context, number, total = before + 1, self.gram[before], self.group[before], self.seen[before]
-        if self.length == 0 and self.texts >= least:
-            k = len(self.first)
-            at, context = np.concatenate([self.first, at]), np.concatenate([np.full(k, START_HASH), context])
-            number, total = np.concatenate([np.full(k, len(self.words) + 1), number]), np.concatenate([np.full(k, float(self.texts)), total])
+        chosen = np.flatnonzero(self.seen >= least)
+        gram = self.hash[chosen] if self.length == 0 else mix(self.gram[self.number[chosen]] * GRAM_MUL + self.hash[self.token[chosen]])
+        place = mix(gram)
+        order = np.argsort(place)
+        gram, place, chosen = gram[order], place[order], chosen[order]
+        total = self.seen[chosen]
+        rank = np.full(len(self.seen), -1, np.int32)
+        rank[chosen] = np.arange(len(chosen))
+        if self.length == 0:
+            number = rank[self.tokens[:-1]]
+            at = np.flatnonzero((number >= 0) & ~self.is_first[1:-1]) + 1
+            number = number[at - 1]
+            if rank[-1] >= 0:
+                at, number = np.concatenate([self.first, at]), np.concatenate([np.full(len(self.first), rank[-1]), number])
+        else:
+            number = np.repeat(rank, self.size)
+            at = self.at + 1
+            own = np.flatnonzero((number >= 0) & ~self.is_first[at])
+            at, number = at[own], number[own]
         self.length += 1
-        order, head = sorted_groups(number * (len(self.words) + 1) + self.tokens[at])
-        group = np.empty(len(at), np.int64)
-        group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))
-        self.group = np.zeros(len(self.tokens), np.int64)
-        self.group[at] = group
-        self.gram = np.zeros(len(self.tokens), np.uint64)
-        self.gram[at] = mix(context * GRAM_MUL + self.word[at])
-        self.total[at] = total
+        self.hash[-1] = END_HASH
+        bits = len(self.words).bit_length()
+        self.at, code = sorted_places(number, self.tokens[at], at, bits)
+        head = heads(code)
+        self.head, self.size, code = head, sizes(head, len(code)), code[head]
+        self.number, self.token, self.gram = code >> bits, code & ((1 << bits) - 1), gram
+        self.total = total[self.number]
+        self.lead = self.at[head]
         # after a context with a single next word, so have all that are longer
-        known = self.single[at] & (self.seen[at] > 0)
-        self.seen = np.zeros(len(self.tokens))
-        self.seen[at] = np.where(known, total, 0)
-        self.reached = at
+        single = self.single[self.lead]
+        self.known = single > 0
+        self.seen = np.where(single == 2, self.total, 0)
         # entries: pairs whose context may be a state, by bucket and context
-        head = order[head]
-        entry = np.flatnonzero(~self.single[at[head]])
-        own = head[entry]
-        parts = np.ceil(total[own] / self.spread).astype(np.uint64)
-        salt = np.where(parts > 1, self.word[at[own]] % np.maximum(parts, 1), 0)
-        bucket = bucket_of(mix(context[own] + salt * GRAM_MUL), self.buckets)
-        by, _ = sorted_groups(bucket)
-        self.own, self.bucket, c = at[own[by]], bucket[by], context[own[by]]
-        self.run = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (self.bucket[1:] != self.bucket[:-1])])) if len(c) else np.empty(0, np.int64)
-        self.context = c
-        of_group = np.full(len(head), -1)
-        of_group[entry[by]] = np.arange(len(by))
-        own_entry = of_group[group]
-        sent = own_entry >= 0
-        self.sent, self.entry = at[sent], own_entry[sent]  # tokens of the entries
+        self.own = np.flatnonzero(~self.known)
+        number = self.number[self.own]
+        run = heads(number)
+        context, total = gram[number[run]], self.total[self.own[run]]
+        bucket = bucket_of(place[number[run]], self.buckets)
+        if (total > self.spread).any():
+            of = np.repeat(np.arange(len(run)), sizes(run, len(number)))
+            wide = np.flatnonzero(total[of] > self.spread)
+            parts = np.ceil(total[of[wide]] / self.spread).astype(np.uint64)
+            salt = self.hash[self.token[self.own[wide]]] % parts
+            bucket = bucket[of]
+            bucket[wide] = bucket_of(mix(context[of[wide]] + salt * GRAM_MUL), self.buckets)
+            by, code = sorted_places(bucket, of, np.arange(len(of)), len(run).bit_length())
+            run = heads(code)
+            self.own, bucket, of = self.own[by], bucket[by[run]], of[by[run]]
+            context, total = context[of], total[of]
+        self.run, self.run_size, self.bucket, self.context, self.run_total = run, sizes(run, len(self.own)), bucket, context, total
 
     def pairs(self, number: int, p: np.ndarray) -> pa.RecordBatch:
         """The entries with their counts in the slice and the parent's probability."""
-        counts = np.bincount(self.entry[self.use[self.sent]], minlength=len(self.own)).astype(np.uint32)
-        runs = np.diff(np.append(self.run, len(self.own))).astype(np.uint32)
-        columns = [(self.word[self.own] & LOW32).astype(np.uint32), counts, parent_code(p[self.own])]
-        by_context = [(self.context[self.run] & LOW32).astype(np.uint32), runs, self.total[self.own[self.run]].astype(np.uint64)]
-        return packed_rows(PAIRS, number, self.bucket, columns, self.bucket[self.run], by_context, planes=(1, 4, 5))
+        counts = np.add.reduceat(self.use()[self.at].astype(np.uint32), self.head)[self.own]
+        columns = [self.hash[self.token[self.own]].astype(np.uint32), narrow(counts), parent_code(p[self.lead[self.own]])]
+        by_context = [self.context.astype(np.uint32), narrow(self.run_size.astype(np.uint64)), narrow(self.run_total.astype(np.uint64))]
+        return packed_rows(PAIRS, number, np.repeat(self.bucket, self.run_size), columns, self.bucket, by_context, planes=(1, 4, 5))
 
     def take(self, answers: list, spread: list, p: np.ndarray) -> None:
         """Counts and weights of the step's contexts; probabilities go on in those that are states.
 
         spread: (key, weight) of the slice's contexts that are spread over buckets.
         """
-        counts = np.concatenate([np.empty(0, np.uint64), *(from_planes(x["counts"], np.uint64) for x in answers)])
-        weight = np.concatenate([np.empty(0, np.int32), *(from_planes(x["weights"], np.int32) for x in answers)])
+        cut = heads(self.bucket)
+        runs, entries = sizes(cut, len(self.run)), sizes(self.run[cut], len(self.own))
+        counts = widened([x["counts"] for x in answers], entries.tolist(), "u")
+        weight = widened([x["weights"] for x in answers], runs.tolist(), "i").astype(np.int32)
         if len(counts) != len(self.own) or len(weight) != len(self.run):
             raise ValueError("answers that do not fit the slice's contexts")
         if spread:
             # a part's own weight counts only its next words
             whole = dict((x["wide"], x["weight"]) for x in spread)
-            total = self.total[self.own[self.run]]
-            wide = np.flatnonzero(total > self.spread)
-            keys = wide_key(self.context[self.run[wide]], total[wide]).tolist()
+            wide = np.flatnonzero(self.run_total > self.spread)
+            keys = wide_key(self.context[wide], self.run_total[wide]).tolist()
             weight[wide] = [whole.get(k, w) for k, w in zip(keys, weight[wide].tolist())]
-        weight = np.repeat(weight, np.diff(np.append(self.run, len(self.own))))[self.entry].astype(np.float64)
-        at = self.sent
-        self.seen[at] = counts[self.entry]
-        self.single[at] = np.abs(weight) <= 1
-        state = weight > 0
-        kept, weight = at[state], weight[state]
-        p[kept] = (self.seen[kept] + weight * p[kept]) / (self.total[kept] + weight)
+        weight = np.repeat(weight, self.run_size)
+        self.seen[self.own] = counts
+        self.known[self.own] = np.abs(weight) <= 1
+        np.minimum(self.single, 1, out=self.single)
+        self.single[self.at] = np.repeat(np.where(self.known, np.where(self.seen > 0, 2, 1), 0).astype(np.uint8), self.size)
+        state = np.flatnonzero(weight > 0)
+        kept, weight = self.own[state], weight[state].astype(np.float64)
+        own = p[self.lead]
+        own[kept] = (self.seen[kept] + weight * own[kept]) / (self.total[kept] + weight)
+        p[self.at] = np.repeat(own, self.size)
 
 
 def send_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for row in slice_rows(batches):
+    for row in slice_rows(batches, trim=False):
         walk = Walk(row, (1,), 1, buckets)
-        counts = np.bincount(walk.tokens[walk.use], minlength=len(walk.words) + 1)[:-1].astype(np.uint32)
+        counts = np.bincount(walk.tokens[walk.use()], minlength=len(walk.words) + 1)[:-1].astype(np.uint32)
         if len(counts):
-            yield packed_rows(WORDS, row["slice"], bucket_of(walk.words, buckets), [walk.words, counts], planes=(1,))
+            yield packed_rows(WORDS, row["slice"], bucket_of(walk.words, buckets), [walk.words, narrow(counts)], planes=(1,))
+
+
+def _column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
 
 
-def _column(table: pa.Table, name: str, kind: type, planes: bool = False) -> list[np.ndarray]:
-    return [from_planes(x.as_buffer(), kind) if planes else np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+def _narrow(table: pa.Table, name: str, beside: list[np.ndarray]) -> np.ndarray:
+    """Narrow integers, one for each number of ``beside``."""
+    return widened([x.as_buffer() for x in table.column(name)], [len(x) for x in beside], "u")
 
 
-def _answers(table: pa.Table, sizes: list[int], counts: np.ndarray, runs: list[int], weights: np.ndarray, a: int, b: int, wide: np.ndarray | None = None, parts: tuple | None = None) -> pa.Table:
+def _answers(table: pa.Table, entries: list[int], counts: np.ndarray, runs: list[int], weights: np.ndarray, a: int, b: int, wide: np.ndarray | None = None, parts: tuple | None = None) -> pa.Table:
     """Each slice's own counts and weights, and a row with the bucket's sums.
 
     wide: of each run the key if its context is spread, else 0; parts: keys of the bucket's spread
     contexts with their divergences and numbers of next words.
     """
     bucket = table.column("bucket")[0].as_py()
-    cut, split = np.cumsum([0, *sizes]).tolist(), np.cumsum([0, *runs]).tolist()
-    rows = [(s, bucket, to_planes(counts[cut[k] : cut[k + 1]]), to_planes(weights[split[k] : split[k + 1]]), None, None, _some(wide, split[k], split[k + 1]), None) for k, s in enumerate(table.column("slice").to_pylist())]
+    cut, split = np.cumsum([0, *entries]).tolist(), np.cumsum([0, *runs]).tolist()
+    rows = [(s, bucket, to_planes(narrow(counts[cut[k] : cut[k + 1]])), to_planes(narrow(weights[split[k] : split[k + 1]])), None, None, _some(wide, split[k], split[k + 1]), None) for k, s in enumerate(table.column("slice").to_pylist())]
     rows.append((SUMS, bucket, None, None, a, b, None, None))
     if parts is not None and len(parts[0]):
         keys, gain, number = parts
@@ -256,11 +339,10 @@ def _some(wide: np.ndarray | None, start: int, end: int) -> list[int] | None:
 def add_words(table: pa.Table) -> pa.Table:
     """Corpus counts of the bucket's words; sums: distinct words and tokens of the training texts."""
     parts = _column(table, "keys", np.uint64)
-    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    inverse = inverse.reshape(-1)
-    sums = np.bincount(inverse, weights=np.concatenate(_column(table, "counts", np.uint32, True)), minlength=len(keys)).astype(np.uint64)
+    order, head, size = groups(np.concatenate(parts))
+    sums = np.add.reduceat(_narrow(table, "counts", parts)[order].astype(np.uint64), head)
     none = np.empty(0, np.int32)
-    return _answers(table, [len(x) for x in parts], sums[inverse], [0] * len(parts), none, int((sums > 0).sum()), int(sums.sum()))
+    return _answers(table, [len(x) for x in parts], put_back(order, sums, size), [0] * len(parts), none, int((sums > 0).sum()), int(sums.sum()))
 
 
 def add_pairs(table: pa.Table, spread: int = SPREAD) -> pa.Table:
@@ -268,31 +350,32 @@ def add_pairs(table: pa.Table, spread: int = SPREAD) -> pa.Table:
 
     Contexts seen more than ``spread`` times have only a part of their next words here.
     """
-    nexts, runs = _column(table, "nexts", np.uint32), _column(table, "runs", np.uint32, True)
-    lengths = np.concatenate(runs)
-    contexts, totals = np.concatenate(_column(table, "contexts", np.uint32)), np.concatenate(_column(table, "totals", np.uint64, True))
-    context = np.repeat(contexts.astype(np.uint64), lengths)
-    keys, at, inverse = np.unique((context << np.uint64(32)) | np.concatenate(nexts), return_index=True, return_inverse=True)
-    inverse = inverse.reshape(-1)
-    sums = np.bincount(inverse, weights=np.concatenate(_column(table, "counts", np.uint32, True)), minlength=len(keys))
+    nexts, by_context = _column(table, "nexts", np.uint32), _column(table, "contexts", np.uint32)
+    lengths = _narrow(table, "runs", by_context).astype(np.int64)
+    contexts, totals = np.concatenate(by_context), _narrow(table, "totals", by_context).astype(np.uint64)
+    key = np.repeat(contexts.astype(np.uint64) << np.uint64(32), lengths)
+    key |= np.concatenate(nexts)
+    order, first, size = groups(key)
+    sums = np.add.reduceat(_narrow(table, "counts", nexts)[order].astype(np.uint64), first)
+    at = order[first]
+    keys, seen = key[at], sums.astype(np.float64)
     total = np.repeat(totals, lengths)[at].astype(np.float64)
     parent = code_log(np.concatenate(_column(table, "parents", np.uint8))[at])
-    gain = np.rint(np.where(sums > 0, sums * (np.log(np.maximum(sums, 1) / total) - parent), 0.0) * GAIN_PARTS).astype(np.int64)
+    gain = np.rint(np.where(sums > 0, seen * (np.log(np.maximum(seen, 1) / total) - parent), 0.0) * GAIN_PARTS).astype(np.int64)
     own = keys >> np.uint64(32)
-    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    head = heads(own)
     number = np.add.reduceat((sums > 0).astype(np.int64), head)
     gain = np.add.reduceat(gain, head)
     state = is_state(gain, number)
     weight = np.where(state, number, -number).astype(np.int32)
-    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
-    first = np.cumsum(lengths) - lengths
     wide, parts = None, None
     if (totals > spread).any():
         wide = np.where(totals > spread, wide_key(contexts, totals), 0)
         most = np.maximum.reduceat(total, head)
         part = np.flatnonzero(most > spread)
         parts = wide_key(own[head[part]], most[part]), gain[part], number[part]
-    return _answers(table, [len(x) for x in nexts], sums.astype(np.uint64)[inverse], [len(x) for x in runs], weight[of[inverse[first]]], int(state.sum()), int(sums.sum()), wide, parts)
+    weights = weight[np.searchsorted(own[head], contexts)]
+    return _answers(table, [len(x) for x in nexts], put_back(order, sums, size), [len(x) for x in by_context], weights, int(state.sum()), int(sums.sum()), wide, parts)
 
 
 def is_state(gain: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -341,14 +424,15 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
         return out
 
     def walked(row: dict, levels: int) -> tuple[Walk, np.ndarray, np.ndarray, np.ndarray]:
-        """The slice's walk after so many passes; count, base and own probability of each token."""
+        """The slice's walk after so many passes; count and base probability of each word, own probability of each token."""
         walk = Walk(row, min_count, spread, buckets)
         by_level = [sorted(row[f"level{k}"] or (), key=lambda x: x["bucket"]) for k in range(levels + 1)]
-        counts = np.concatenate([np.empty(0, np.uint64), *(from_planes(x["counts"], np.uint64) for x in by_level[0])])
-        count = np.append(counts.astype(np.float64), ends)[walk.tokens]
-        base = (count + 0.5) / (n + 0.5 * (v + 1))
-        p = base.copy()
+        sent = sizes(heads(bucket_of(walk.words, buckets)), len(walk.words))
+        count = widened([x["counts"] for x in by_level[0]], sent.tolist(), "u").astype(np.float64)
         walk.begin(count, ends)
+        count = np.append(count, ends)
+        base = (count + 0.5) / (n + 0.5 * (v + 1))
+        p = base[walk.tokens]
         for k, level in enumerate(by_level[1:], 1):
             walk.grow()
             walk.take(level, row[f"spread{k}"] or [], p)
@@ -356,7 +440,7 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
 
     def sender(levels: int):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in slice_rows(batches):
+            for row in slice_rows(batches, trim=False):
                 walk, _, _, p = walked(row, levels)
                 walk.grow()
                 if len(walk.own):
@@ -365,9 +449,9 @@ def score(docs: DataFrame, max_words: int = MAX_WORDS, min_count: tuple[int, int
         return send
 
     def run(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
-        for row in slice_rows(batches):
+        for row in slice_rows(batches, trim=False):
             walk, count, base, p = walked(row, passes)
-            sums = np.add.reduceat(np.column_stack([np.log10(base), np.log10(p), count > 0]), walk.first, axis=0)
+            sums = np.add.reduceat(np.column_stack([np.log10(base)[walk.tokens], np.log10(p), (count > 0)[walk.tokens]]), walk.first, axis=0)
             held = pa.array([None if i == NO_ID else held_out(i) for i in walk.ids.tolist()], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [ids_array(walk.ids), held, pa.array(walk.counts + 1), pa.array(sums[:, 2].astype(np.int64)), pa.array(np.full(len(walk.ids), n, np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])],

@@ -157,14 +157,18 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1
         lo = hi
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(first column, bytes, offsets) of whole documents in runs of about ``run_bytes`` over several batches."""
+def text_runs(batches: Iterator[pa.RecordBatch], run_bytes: int, trim: bool = True) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, bytes, offsets) of whole documents in runs of about ``run_bytes`` over several batches.
+
+    Memory goes back to the system after each run, unless ``trim`` is off.
+    """
     ids, parts, counts, held = [], [], [], 0
 
     def run() -> tuple[pa.Array, np.ndarray, np.ndarray]:
         out = pa.concat_arrays(ids), np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
         ids.clear(), parts.clear(), counts.clear()
-        give_back()
+        if trim:
+            give_back()
         return out
 
     for batch in batches:

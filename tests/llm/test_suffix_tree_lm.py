@@ -104,3 +104,49 @@ def test_spreading_moves_work_and_no_result(spark):
         check(got, rows)
         scores.append(got)
     assert scores[1] == scores[0] and scores[2] == scores[0]
+
+
+def slice_row(number, texts):
+    """A slice of these lists of word hashes."""
+    words, at = np.unique(np.array([x for t in texts for x in t], np.uint64), return_inverse=True)
+    counts = np.array([len(t) for t in texts])
+    tokens = np.insert(at.reshape(-1).astype(np.uint8), np.cumsum(counts), len(words))
+    columns = {"doc_ids": np.arange(len(texts)) * 5 + number, "counts": counts.astype(np.int32), "words": words, "tokens": tokens}
+    return {"slice": number, **{k: m.to_planes(x) for k, x in columns.items()}}
+
+
+def test_memory_is_given_back_once_in_a_task_and_small_numbers_take_one_byte(spark, monkeypatch):
+    """To give memory back at each slice and to pad all numbers cost a large part of the CPU seconds."""
+    from cloakframe.llm import slices
+
+    calls = []
+    monkeypatch.setattr(slices, "give_back", lambda: calls.append(1))
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(1, 2**63, 30, dtype=np.uint64)
+    rows = [slice_row(k, [rng.choice(hashes, 12).tolist() for _ in range(20)]) for k in range(5)]
+    sent = list(m.send_words(iter([m.pa.RecordBatch.from_pylist(rows)]), 4))
+    assert len(sent) == 5 and len(calls) == 1
+    for batch in sent:
+        for r in batch.to_pylist():
+            assert len(r["counts"]) == len(r["keys"]) // 8
+
+
+def test_narrow_numbers_come_back(spark):
+    for kind, parts in (("u", [[0, 255], [256], [1 << 16, 3], [1 << 32, (1 << 64) - 1]]), ("i", [[-127, 127], [128, 0], [-128], [-(1 << 15), 5], [(1 << 31) - 1]])):
+        arrays = [np.array(x, np.uint64 if kind == "u" else np.int64) for x in parts]
+        got = m.widened([m.to_planes(m.narrow(x)) for x in arrays], [len(x) for x in arrays], kind)
+        assert got.tolist() == [x for part in parts for x in part]
+    assert m.narrow(np.array([3, 200], np.uint64)).itemsize == m.narrow(np.array([-3, 100])).itemsize == 1
+    with pytest.raises(ValueError):
+        m.widened([b"1"], [1, 1], "u")
+
+
+def test_places_are_sorted_by_pairs_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    number, token, at = rng.integers(0, 9, 500), rng.integers(0, 8, 500), rng.permutation(500)
+    want = sorted(zip(number.tolist(), token.tolist()))
+    for far in (0, 1 << 55):  # beyond one packed number
+        places, code = m.sorted_places(number + far, token, at, 3)
+        back = np.argsort(at)[places]
+        assert [(int(number[k]), int(token[k])) for k in back] == want
+        assert ((code >> 3) - far).tolist() == [x for x, _ in want] and (code & 7).tolist() == [y for _, y in want]
